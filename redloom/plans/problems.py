@@ -47,13 +47,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return tree.unionByName(child).unionByName(span)
 
 
+def p5_children(spark: SparkSession, d: str) -> DataFrame:
+    rows = nested.explode_children(table(spark, d, "nodes"), "document_id", "node_key", "node_id", "child_ids")
+    return rows.select("owner_key", "item_ix", "child_name", "child_key")
+
+
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = nested.explode_spans(table(spark, d, "nodes"), "document_id", "node_key", "spans", table(spark, d, "streams"), "document_id", "part_id", "stream_key")
+    return rows.select("owner_key", "item_ix", "part_id", "start_off", "end_off", "stream_key")
+
+
 def p5_elements_by_tag(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "parts").select("part_key", "tree").dropDuplicates(["part_key"])
     e = nested.flatten_trees(parts, "part_key", "tree")
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n_elements"), F.max("depth").alias("deepest"), F.sum((F.col("post") - F.col("pre") - 1).cast("long")).alias("interval_sum"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dictionary": p1_dictionary, "p2_found": p2_found, "p5_found": p5_found, "p5_elements_by_tag": p5_elements_by_tag}
+QUERIES = {"p1_found": p1_found, "p1_dictionary": p1_dictionary, "p2_found": p2_found, "p5_found": p5_found, "p5_children": p5_children, "p5_spans": p5_spans, "p5_elements_by_tag": p5_elements_by_tag}
 
 SQL = {
     "p2_found": """
@@ -71,4 +81,14 @@ walk AS (
 SELECT src, k AS item_key, CASE WHEN bool_or(lp) THEN min(list_min(list_slice(seen, list_position(seen, cur), len(seen)))) FILTER (WHERE lp) ELSE arg_max(cur, steps) END AS root_key,
   CAST(CASE WHEN bool_or(lp) THEN -1 ELSE max(steps) END AS INTEGER) AS tree_depth
 FROM walk GROUP BY src, k""",
+    "p5_children": """
+WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes),
+e AS (SELECT document_id, node_key, unnest(child_ids) AS nm, unnest(range(len(child_ids))) AS ix FROM n),
+k AS (SELECT document_id, node_id, min(node_key) AS child_key FROM nodes GROUP BY ALL)
+SELECT e.node_key AS owner_key, CAST(e.ix AS INTEGER) AS item_ix, e.nm AS child_name, k.child_key FROM e LEFT JOIN k ON k.document_id = e.document_id AND k.node_id = e.nm""",
+    "p5_spans": """
+WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes),
+e AS (SELECT document_id, node_key, unnest(spans) AS s, unnest(range(len(spans))) AS ix FROM n),
+k AS (SELECT document_id, part_id, min(stream_key) AS stream_key FROM streams GROUP BY ALL)
+SELECT e.node_key AS owner_key, CAST(e.ix AS INTEGER) AS item_ix, e.s.part_id AS part_id, e.s.start_off AS start_off, e.s.end_off AS end_off, k.stream_key FROM e LEFT JOIN k ON k.document_id = e.document_id AND k.part_id = e.s.part_id""",
 }
