@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redloom.operators.skew import skew_join
 from redloom.session import staged
 
 LOCAL_LIMIT = 200_000
@@ -31,7 +32,7 @@ BUCKETS = 64
 #: Records handled together on arrays in a task.
 BATCH = 200_000
 COLUMNS = ["scope", "node_key", "parent_key", "root_key", "depth", "pre", "pre_end"]
-SCHEMA = "scope string, node_key long, parent_key long, root_key long, depth int, pre long, pre_end long"
+FIELDS = "node_key long, parent_key long, root_key long, depth int, pre long, pre_end long"
 
 
 def solve_forest(parent: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +191,10 @@ def _rounds(links: DataFrame) -> DataFrame:
 
 
 def build_hierarchy(links: DataFrame, local_limit: int = LOCAL_LIMIT) -> DataFrame:
-    """``links(scope string, node_key bigint, parent_key bigint)`` with root, depth and nested-set range of each record."""
+    """``links(scope, node_key bigint, parent_key bigint)`` with root, depth and nested-set range of each record.
+
+    Where keys are unique beyond their scope, a hash of the scope will do for it: two scopes of one hash only share a task.
+    """
     links = links.select("scope", F.col("node_key").cast("long"), F.col("parent_key").cast("long"))
     links = staged(links.groupBy("scope", "node_key").agg(F.min("parent_key").alias("parent_key")), "links")
     large = staged(links.groupBy("scope").count().where(F.col("count") > local_limit).select("scope"), "large-scopes")
@@ -198,28 +202,25 @@ def build_hierarchy(links: DataFrame, local_limit: int = LOCAL_LIMIT) -> DataFra
     if not large.isEmpty():
         rounds = _rounds(links.join(large, "scope", "left_semi"))
         rest = links.join(large, "scope", "left_anti")
-    out = rest.repartition("scope").sortWithinPartitions("scope").mapInPandas(_solve_partition, SCHEMA)
+    out = rest.repartition("scope").sortWithinPartitions("scope").mapInPandas(_solve_partition, f"scope {dict(links.dtypes)['scope']}, {FIELDS}")
     return out if rounds is None else out.unionByName(rounds)
 
 
-def child_links(nodes: DataFrame, scope: str, key: str, name: str, children: str) -> DataFrame:
-    """Links of records that list the names of their children; names that no record of the scope has are dropped."""
-    own = nodes.select(F.col(scope).alias("scope"), F.col(key).alias("node_key"), F.col(name).alias("__name"), F.col(children).alias("__kids")).dropDuplicates(["scope", "node_key"])
-    listed = own.select("scope", F.explode("__kids").alias("__name"), F.col("node_key").alias("__parent")).groupBy("scope", "__name").agg(F.min("__parent").alias("parent_key"))
-    return own.join(listed, ["scope", "__name"], "left").select("scope", "node_key", "parent_key")
-
+def child_links(nodes: DataFrame, scope: str, key: str, name: str, children: str, as_scope: Column | None = None) -> DataFrame:
+    """Links of records that list the names of their children; names that no record of the scope has are dropped.
 
-def named_parent_links(rows: DataFrame, scope: str, key: str, name: str, parent: str) -> DataFrame:
-    """Links of records that name their parent; of records with the same name the one with the smallest key is the parent.
-
-    Names are counted before the join and only joined by distinct (scope, parent name), so a parent of very many
-    children is no hot key; the children follow by the same grouping of their own rows.
+    ``as_scope`` is what the links carry for the scope.  Repeated rows give repeated links, which ``build_hierarchy`` joins.
     """
-    from redloom.operators.skew import skew_join
+    own = nodes.select(F.col(scope).alias("__in"), (F.col(scope) if as_scope is None else as_scope).alias("scope"), F.col(key).alias("node_key"), F.col(name).alias("__name"))
+    listed = nodes.select(F.col(scope).alias("__in"), F.explode(children).alias("__name"), F.col(key).alias("__parent")).groupBy("__in", "__name").agg(F.min("__parent").alias("parent_key"))
+    return own.join(listed, ["__in", "__name"], "left").select("scope", "node_key", "parent_key")
+
 
-    own = rows.select(F.col(scope).alias("scope"), F.col(key).alias("node_key"), F.col(name).alias("__name"), F.col(parent).alias("__up")).dropDuplicates(["scope", "node_key"])
-    named = own.where("__name is not null").groupBy("scope", F.col("__name").alias("__up")).agg(F.min("node_key").alias("parent_key"))
-    linked = skew_join(own.where("__up is not null").select("scope", "node_key", "__up"), named, ["scope", "__up"], "left", spread=F.col("node_key")).select("scope", "node_key", "parent_key")
+def named_parent_links(rows: DataFrame, scope: str, key: str, name: str, parent: str, as_scope: Column | None = None) -> DataFrame:
+    """Links of records that name their parent; of records with the same name the one with the smallest key is the parent."""
+    own = rows.select(F.col(scope).alias("__in"), (F.col(scope) if as_scope is None else as_scope).alias("scope"), F.col(key).alias("node_key"), F.col(name).alias("__name"), F.col(parent).alias("__up"))
+    named = own.where("__name is not null").groupBy("__in", F.col("__name").alias("__up")).agg(F.min("node_key").alias("parent_key"))
+    linked = skew_join(own.where("__up is not null").select("__in", "scope", "node_key", "__up"), named, ["__in", "__up"], "left", spread=F.col("node_key")).select("scope", "node_key", "parent_key")
     return linked.unionByName(own.where("__up is null").select("scope", "node_key", F.lit(None).cast("long").alias("parent_key")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redloom.operators import hierarchy, nested, timestamps
@@ -26,15 +26,23 @@ def p1_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("src", (F.col("tz_name").isNull()).alias("no_zone_column")).agg(F.count(F.lit(1)).alias("n_rows"), F.count("utc_us").alias("n_placed"), F.countDistinct("date_raw").alias("n_notations"))
 
 
+def _compact(c: str) -> Column:
+    """An id of hexadecimal digits as half as many bytes, any other as its text; a first byte tells which."""
+    return F.when(F.col(c).rlike("^([0-9a-f]{2})+$"), F.concat(F.unhex(F.lit("01")), F.unhex(c))).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(F.col(c), "utf-8")))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    comments = table(spark, d, "comment_labels").select(F.concat(F.lit("comment:"), "document_id").alias("scope"), "comment_key", F.lower("para_id").alias("para"), F.lower("parent_id").alias("up"))
-    nodes = table(spark, d, "nodes").select(F.concat(F.lit("node:"), "document_id").alias("scope"), "node_key", "node_id", "child_ids")
-    return hierarchy.named_parent_links(comments, "scope", "comment_key", "para", "up").unionByName(hierarchy.child_links(nodes, "scope", "node_key", "node_id", "child_ids"))
+    # keys are unique in their table, so links only need a hash of the document; its last bit tells the table
+    scope = lambda bit: F.shiftleft(F.xxhash64("document_id"), 1) + F.lit(bit)
+    comments = table(spark, d, "comment_labels").select("document_id", _compact("document_id").alias("doc"), "comment_key", F.lower("para_id").alias("para"), F.lower("parent_id").alias("up"))
+    nodes = table(spark, d, "nodes").select("document_id", _compact("document_id").alias("doc"), "node_key", "node_id", "child_ids")
+    return hierarchy.named_parent_links(comments, "doc", "comment_key", "para", "up", scope(0)).unionByName(hierarchy.child_links(nodes, "doc", "node_key", "node_id", "child_ids", scope(1)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     forest = hierarchy.build_hierarchy(_links(spark, d))
-    return forest.where("depth <> 0").select(F.substring_index("scope", ":", 1).alias("src"), F.col("node_key").alias("item_key"), "root_key", F.col("depth").alias("tree_depth"))
+    src = F.when(F.col("scope").bitwiseAND(F.lit(1)) == 0, "comment").otherwise("node")
+    return forest.where("depth <> 0").select(src.alias("src"), F.col("node_key").alias("item_key"), "root_key", F.col("depth").alias("tree_depth"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
