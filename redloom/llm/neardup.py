@@ -1,9 +1,10 @@
 """Near-duplicate texts by a grouped prefix join on word shingles.
 
-Equal shingle sets are one class.  Shingles are ordered by how rare their words are in the whole collection; two sets of
-sizes m and n can only reach similarity t if their first ``m - ceil(t m) + 1`` and ``n - ceil(t n) + 1`` shingles in that
-order meet.  Classes with the same prefix and size form one group; group pairs are filtered by size and by what the
-met and the remaining shingles allow at most; what passes is expanded to its classes and verified on whole sets.
+Equal shingle sets are one class.  Shingles are ordered by how many texts hold them, the rarest first; two sets of sizes m
+and n can only reach similarity t if their first ``m - ceil(t m) + 1`` and ``n - ceil(t n) + 1`` shingles in that order
+meet, and if behind some place where they meet both still have the ``t / (1 + t) (m + n)`` shingles they must share.
+Classes with the same prefix and size form one group; group pairs are filtered by these bounds; what passes is expanded to
+its classes and verified on whole sets.
 
 Defined results
 * a word is an unbroken run of letters and digits, lower-cased; texts of fewer than ``least_words`` words, null and empty
@@ -15,9 +16,9 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 
 from redloom.session import staged
 
-#: Words in at least this share of the texts have their frequency broadcast; a text of w distinct words adds w, so there
-#: are at most (mean distinct words) / SHARE of them.
-SHARE = 0.001
+#: Counts of up to so many shingles go to the executors as one sorted array (16 bytes each); more are joined by a shuffle.
+BROADCAST_SHINGLES = 4_000_000
+#: Up to so many representatives are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Entries a partition holds back to combine counts before they are shuffled.
+COMBINE = 3_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -38,40 +42,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts of the partition each word is in; emptied when it grows large."""
-    counts: Counter = Counter()
-    texts = 0
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([*counts, ""], pa.string()), pa.array([*counts.values(), texts], pa.int64())], ["word", "n"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(set(words_of(text)))
-            texts += 1
-        if len(counts) > 500_000:
-            yield out()
-            counts, texts = Counter(), 0
-    yield out()
-
-
-def common_words(texts: DataFrame, column: str) -> dict[str, float]:
-    """The share of texts that each word in at least ``SHARE`` of them is in; counted over all texts."""
-    counted = texts.select(column).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = staged(counted, "word-counts")
-    total = counted.where("word = ''").agg(F.sum("n")).first()[0] or 1
-    kept = counted.where((F.col("n") >= SHARE * total) & (F.col("word") != "")).toPandas()
-    return dict(zip(kept["word"], kept["n"] / total))
-
-
-def shingle_batch(texts: list[str | None], width: int, seed: np.ndarray, least_words: int, share: dict[str, float] | None):
-    """Of each text: the sorted distinct shingle hashes and, in the same order, their estimated frequency (None without ``share``)."""
+def shingle_batch(texts: list[str | None], width: int, seed: np.ndarray, least_words: int) -> list[np.ndarray | None]:
+    """The sorted distinct shingle hashes of each text, None for a text of too few words."""
     lists = [words_of(t) for t in texts]
     sizes = np.array([len(w) if len(w) >= max(least_words, width) else 0 for w in lists], np.int64)
     flat = [w for ws, n in zip(lists, sizes) if n for w in ws]
     if not flat:
-        return [None] * len(texts), [None] * len(texts)
+        return [None] * len(texts)
     code, distinct = pd.factorize(np.array(flat, dtype=object))
     hashes = pd.util.hash_array(np.array(distinct, dtype=object), categorize=False)
     h = hashes[code]
@@ -81,22 +58,14 @@ def shingle_batch(texts: list[str | None], width: int, seed: np.ndarray, least_w
         for i in range(width):
             mixed = (mixed ^ (h[i : n - width + 1 + i] >> np.uint64(i))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)
             mixed ^= mixed >> np.uint64(29)
-    weight = None
-    if share is not None:
-        logs = np.log(np.array([share.get(w, SHARE) for w in distinct]))[code]
-        weight = sum(logs[i : n - width + 1 + i] for i in range(width)).astype(np.float32)
-    out, weights, at = [], [], 0
+    out, at = [], 0
     for size, s in zip(sizes, seed):
         if not size:
             out.append(None)
-            weights.append(None)
             continue
-        own = mixed[at : at + size - width + 1] ^ np.uint64(s)
-        values, first = np.unique(own, return_index=True)
-        out.append(values.view(np.int64))
-        weights.append(None if weight is None else weight[at : at + size - width + 1][first])
+        out.append(np.unique(mixed[at : at + size - width + 1] ^ np.uint64(s)).view(np.int64))
         at += size
-    return out, weights
+    return out
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -107,23 +76,88 @@ def _seed(src: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(src, dtype=object), categorize=False)
 
 
-_PREFIXES = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+def _count_shingles(width: int, least_words: int):
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            src, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sets = [v for v in shingle_batch(text, width, _seed(src), least_words) if v is not None]
+            held += sets
+            size += sum(map(len, sets))
+            if size > COMBINE:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], schema=schema)
+
+    return run
+
+
+_ROWS = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("gid", pa.int64()), ("pos", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64()))])
+_ROWS_DDL = "src string, key long, n int, class long, gid long, pos array<int>, prefix array<long>"
+
 
+def _hash_bytes(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _prefixes(width: int, threshold: float, least_words: int, shared):
+    """Per text its class, group and prefix; shingles of a single text keep their place but are left out, and so are prefixes the partition has told before."""
 
-def _prefixes(width: int, threshold: float, least_words: int, share: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        told: set[int] = set()
         for batch in batches:
             src, key, text = (batch.column(i).to_pylist() for i in range(3))
             rows = []
-            sets, weights = shingle_batch(text, width, _seed(src), least_words, share)
-            for s, k, values, w in zip(src, key, sets, weights):
+            for s, k, values in zip(src, key, shingle_batch(text, width, _seed(src), least_words)):
                 if values is None:
                     continue
-                order = np.lexsort((values, w))[: prefix_length(len(values), threshold)]
-                whole = int(pd.util.hash_array(np.array([values.tobytes()], dtype=object), categorize=False).view(np.int64)[0])
-                rows.append((s, k, len(values), whole, values[order]))
+                at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+                often = np.where(known[at] == values, count[at], 1) if len(known) else np.ones(len(values), np.int64)
+                order = np.lexsort((values, often))[: prefix_length(len(values), threshold)]
+                prefix = values[order]
+                gid = _hash_bytes(prefix.tobytes(), len(values).to_bytes(8, "little"), s.encode())
+                some = np.flatnonzero(often[order] > 1)
+                new = gid not in told
+                told.add(gid)
+                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, some.astype(np.int32) if new else None, prefix[some] if new else None))
+            if len(told) > 1_000_000:
+                told.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+
+    return run
+
+
+def _rows_by_join(t: DataFrame, counts: DataFrame, width: int, threshold: float, least_words: int) -> DataFrame:
+    """What ``_prefixes`` yields, for more counts than may be broadcast: shingles are joined to their counts and regrouped."""
+    sets = t.mapInArrow(_whole(width, least_words), "src string, key long, class long, shingles array<long>")
+    one = sets.select("src", "key", "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(counts, "shingle", "left")
+    kept = F.array_sort(F.collect_set(F.struct(F.coalesce(F.col("n_texts"), F.lit(1)).alias("often"), "shingle")))  # a set: rows may be repeated
+    length = F.expr(f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1")
+    rows = one.groupBy("src", "key", "class", "n").agg(kept.alias("o")).withColumn("o", F.slice("o", F.lit(1), length))
+    rows = rows.withColumn("gid", F.xxhash64("src", "n", F.transform("o", lambda x: x["shingle"])))
+    placed = F.filter(F.transform("o", lambda x, i: F.struct(x["often"].alias("often"), x["shingle"].alias("shingle"), i.alias("i"))), lambda x: x["often"] > 1)
+    return rows.select("src", "key", "n", "class", "gid", F.transform(placed, lambda x: x["i"]).alias("pos"), F.transform(placed, lambda x: x["shingle"]).alias("prefix"))
+
+
+def _whole(width: int, least_words: int):
+    schema = pa.schema([("src", pa.string()), ("key", pa.int64()), ("class", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, key, text = (batch.column(i).to_pylist() for i in range(3))
+            rows = [(s, k, _hash_bytes(v.tobytes()), v) for s, k, v in zip(src, key, shingle_batch(text, width, _seed(src), least_words)) if v is not None]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _PREFIXES)], schema=_PREFIXES)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
@@ -133,8 +167,7 @@ def _sets(width: int, least_words: int):
         schema = pa.schema([("class", pa.int64()), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
             src, text, cls = (batch.column(i).to_pylist() for i in range(3))
-            sets, _ = shingle_batch(text, width, _seed(src), least_words, None)
-            rows = [(c, v) for c, v in zip(cls, sets) if v is not None]
+            rows = [(c, v) for c, v in zip(cls, shingle_batch(text, width, _seed(src), least_words)) if v is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.int64()))], schema=schema)
 
@@ -142,23 +175,31 @@ def _sets(width: int, least_words: int):
 
 
 def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Members (src, key, class) and class pairs (src, class_a, class_b, similarity) of ``texts(src, key, text)``; sources stay apart."""
+    """Members (src, key, class) and class pairs (class_a, class_b, similarity) of ``texts(src, key, text)``; sources stay apart."""
+    spark = texts.sparkSession
     t = texts.where("text is not null").select("src", F.col("key").cast("long").alias("key"), "text")
-    share = common_words(t, "text")
-    rows = t.mapInArrow(_prefixes(width, threshold, least_words, share), "src string, key long, n int, class long, prefix array<long>")
+    # how many texts hold each shingle, over all texts; repeated rows of a key count again, which only moves the order
+    counts = t.select("src", "text").mapInArrow(_count_shingles(width, least_words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n_texts")).where("n_texts > 1")
+    counts = staged(counts, "shingle-counts")
+    if counts.count() <= BROADCAST_SHINGLES:
+        table = counts.toArrow()
+        values, often = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.argsort(values)
+        shared = spark.sparkContext.broadcast((values[order], often[order]))
+        rows = t.mapInArrow(_prefixes(width, threshold, least_words, shared), _ROWS_DDL)
+    else:
+        rows = _rows_by_join(t, counts, width, threshold, least_words)
     rows = staged(rows, "prefixes")
     members = rows.select("src", "key", "class").distinct()
-    # one row a class, then one a group of classes with the same prefix and size
-    classes = rows.groupBy("src", "class", "n").agg(F.first("prefix").alias("prefix"), F.min("key").alias("one"))
-    classes = staged(classes.withColumn("gid", F.xxhash64("src", "n", "prefix")), "classes")
-    groups = classes.groupBy("src", "gid", "n").agg(F.first("prefix").alias("prefix"))
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    classes = staged(rows.groupBy("class").agg(F.min(F.struct("src", "key")).alias("one"), F.min("gid").alias("gid")), "classes")
+    # one posting a group and shingle: the exchange by shingle serves the distinct and both sides of the join
+    postings = rows.where("prefix is not null").select("gid", "n", F.explode(F.arrays_zip("pos", "prefix")).alias("x")).select(F.col("x.prefix").alias("shingle"), "gid", "n", F.col("x.pos").alias("pos"))
+    postings = postings.repartition("shingle").distinct()
     a = postings.select("shingle", F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = postings.select("shingle", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = a.join(b, "shingle").where((F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-    seen = met.groupBy("ga", "gb", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("la"), F.max("pb").alias("lb"))
     needed = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = seen.where(F.col("c") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")) - 1 >= needed).select("ga", "gb")
+    met = a.join(b, "shingle").where((F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.col("na") - F.col("pa") >= needed) & (F.col("nb") - F.col("pb") >= needed))
+    pairs = met.select("ga", "gb").distinct()
     pairs = staged(pairs, "group-pairs")
     inside = classes.select("gid", "class")
     across = pairs.join(inside.toDF("ga", "class_a"), "ga").join(inside.toDF("gb", "class_b"), "gb").select("class_a", "class_b")
@@ -166,8 +207,9 @@ def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8,
     candidates = staged(across.unionByName(within), "class-pairs")
     # whole sets of the classes that are in a pair, from one text of each
     involved = candidates.select(F.col("class_a").alias("class")).union(candidates.select("class_b")).distinct()
-    one = classes.join(involved, "class", "left_semi").select("src", F.col("one").alias("key"), "class")
-    sets = t.join(one, ["src", "key"]).select("src", "text", "class").mapInArrow(_sets(width, least_words), "class long, shingles array<long>").dropDuplicates(["class"])
+    one = staged(classes.join(involved, "class", "left_semi").select("one.src", "one.key", "class"), "involved")
+    few = one.count() <= BROADCAST_ROWS
+    sets = t.join(F.broadcast(one) if few else one, ["src", "key"]).select("src", "text", "class").mapInArrow(_sets(width, least_words), "class long, shingles array<long>").dropDuplicates(["class"])
     sets = staged(sets, "class-sets")
     left, right = sets.toDF("class_a", "set_a"), sets.toDF("class_b", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
