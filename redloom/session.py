@@ -8,6 +8,7 @@ single-machine runs).
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -62,6 +63,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans nobody refers to any more; it only learns of them by collections of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`staged` whose rows no plan will read again."""
+    spark = df.sparkSession
+    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+        if "/redloom/" in name:
+            p = spark._jvm.org.apache.hadoop.fs.Path(name)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

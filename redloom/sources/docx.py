@@ -40,7 +40,7 @@ W15 = "http://schemas.microsoft.com/office/word/2012/wordml"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
 STRICT_REL = "http://purl.oclc.org/ooxml/officeDocument/relationships/"
 
-_BLOCKS = {"body", "tbl", "tr", "tc", "sdtContent", "hdr", "ftr", "footnotes", "endnotes", "footnote", "endnote", "comment", "comments", "customXml", "sdt"}
+_BLOCKS = {"document", "body", "tbl", "tr", "tc", "sdtContent", "hdr", "ftr", "footnotes", "endnotes", "footnote", "endnote", "comment", "comments", "customXml", "sdt"}
 _INLINE = {"r", "hyperlink", "fldSimple", "smartTag", "customXml", "dir", "bdo", "sdt", "sdtContent"}
 _QUIET = {"sectPr", "tblPr", "tblGrid", "trPr", "tcPr", "sdtPr", "sdtEndPr", "bookmarkStart", "bookmarkEnd", "pPr", "rPr", "proofErr", "lastRenderedPageBreak", "instrText", "tblPrEx", "delInstrText"}
 _NODES = {"tbl": "table", "tr": "row", "tc": "cell", "hdr": "header", "ftr": "footer", "footnote": "footnote", "endnote": "footnote", "sdt": "sdt"}
