@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redloom.operators.skew import skew_join
@@ -180,17 +180,29 @@ def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return inner.join(nearest, ["owner_key", "ix"], "left")
 
 
+def _link_key(scope: Column, name: Column) -> Column:
+    """Scope and name as 16 bytes, which is all that travels to the join; null for a null name."""
+    return F.when(name.isNotNull(), F.unhex(F.md5(F.concat(scope.cast("string"), F.lit("\x00"), name))))
+
+
+def _linked(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    # repeated rows of an owner give the same entries: one of each stays
+    own = entries.dropDuplicates(["owner_key", "item_ix"])
+    return skew_join(own, keys, ["__key"], "left", spread=F.struct("owner_key", "item_ix")).drop("__key")
+
+
 def explode_children(nodes: DataFrame, scope: str, key: str, name: str, children: str) -> DataFrame:
-    """One row an entry of the list of child names: owner, place, name, and the child's key or null."""
-    own = nodes.select(F.col(scope).alias("scope"), F.col(key).alias("owner_key"), F.col(name).alias("__name"), F.col(children).alias("__kids")).dropDuplicates(["scope", "owner_key"])
-    entries = own.select("scope", "owner_key", F.posexplode("__kids").alias("item_ix", "child_name"))
-    keys = own.where("__name is not null").groupBy("scope", F.col("__name").alias("child_name")).agg(F.min("owner_key").alias("child_key"))
-    return skew_join(entries, keys, ["scope", "child_name"], "left", spread=F.struct("owner_key", "item_ix"))
+    """One row an entry of the list of child names: scope, owner, place, name, and the child's key or null.
+
+    ``key`` has to be unique beyond its scope.
+    """
+    entries = nodes.select(F.col(scope).alias("scope"), F.col(key).alias("owner_key"), F.posexplode(children).alias("item_ix", "child_name"))
+    keys = nodes.where(F.col(name).isNotNull()).select(_link_key(F.col(scope), F.col(name)).alias("__key"), F.col(key).alias("k")).groupBy("__key").agg(F.min("k").alias("child_key"))
+    return _linked(entries.withColumn("__key", _link_key(F.col("scope"), F.col("child_name"))), keys)
 
 
 def explode_spans(nodes: DataFrame, scope: str, key: str, spans: str, streams: DataFrame, stream_scope: str, stream_part: str, stream_key: str) -> DataFrame:
-    """One row a span: owner, place, part, offsets, and the key of the stream it points into or null."""
-    own = nodes.select(F.col(scope).alias("scope"), F.col(key).alias("owner_key"), F.col(spans).alias("__spans")).dropDuplicates(["scope", "owner_key"])
-    entries = own.select("scope", "owner_key", F.posexplode("__spans").alias("item_ix", "__s")).select("scope", "owner_key", "item_ix", F.col("__s.part_id").alias("part_id"), F.col("__s.start_off").alias("start_off"), F.col("__s.end_off").alias("end_off"))
-    keys = streams.where(F.col(stream_part).isNotNull()).groupBy(F.col(stream_scope).alias("scope"), F.col(stream_part).alias("part_id")).agg(F.min(stream_key).alias("stream_key"))
-    return skew_join(entries, keys, ["scope", "part_id"], "left", spread=F.struct("owner_key", "item_ix"))
+    """One row a span: scope, owner, place, part, offsets, and the key of the stream it points into or null."""
+    entries = nodes.select(F.col(scope).alias("scope"), F.col(key).alias("owner_key"), F.posexplode(spans).alias("item_ix", "__s")).select("scope", "owner_key", "item_ix", F.col("__s.part_id").alias("part_id"), F.col("__s.start_off").alias("start_off"), F.col("__s.end_off").alias("end_off"))
+    keys = streams.where(F.col(stream_part).isNotNull()).select(_link_key(F.col(stream_scope), F.col(stream_part)).alias("__key"), F.col(stream_key).alias("k")).groupBy("__key").agg(F.min("k").alias("stream_key"))
+    return _linked(entries.withColumn("__key", _link_key(F.col("scope"), F.col("part_id"))), keys)

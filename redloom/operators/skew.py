@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +26,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     """``left`` joined to ``right`` on ``keys``, ``how`` being ``left`` or ``inner``.
 
     Hot keys (see :func:`hot_keys`) are split by a salt taken from ``spread`` (a column of ``left`` that differs within a
-    key); only their right rows are repeated, once a salt.  Null keys match nothing and are left unsalted; under ``left``
-    Spark spreads them no worse than one partition, so callers filter them first where they may be many.
+    key); only their right rows are repeated, once a salt.  Null keys match nothing and are spread by the same salt.
     """
     hot = F.broadcast(hot_keys(left, keys, hot_rows).withColumn("__hot", F.lit(True)))
-    a = left.withColumn("__spread", spread).join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("__spread"), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot", "__spread")
+    a = left.withColumn("__spread", spread).join(hot, keys, "left").withColumn("__salt", F.when(reduce(or_, [F.col(k).isNull() for k in keys], F.coalesce("__hot", F.lit(False))), F.pmod(F.xxhash64("__spread"), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot", "__spread")
     b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
