@@ -61,18 +61,20 @@ def lines_of(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def candidates(segments: DataFrame, forms: DataFrame, keys: list[str] = SEGMENT) -> DataFrame:
-    """Every place a form matches: (keys, group_key, start, end, rank) in offsets of the line."""
-    longest = forms.agg(F.max("width").alias("__longest"))
+    """Every place a form matches: (keys, group_key, start, end, rank) in offsets of the line.
+
+    Words are exploded alone and meet forms on the first one; only where that holds are a line's tokens with their
+    offsets worked out and the other words compared.
+    """
     algorithms = [r[0] for r in forms.select("algorithm").distinct().collect()]  # at most the stemmers there are
     out = None
     for reading in T.READINGS:
-        spans = segments.select(*keys, T.token_spans(F.col("line"), reading).alias("spans")).where("size(spans) > 0")
         for algorithm in algorithms:
-            words = F.transform("spans", lambda x: x["t"])
-            w = spans.withColumn("w", words if not algorithm else stem_tokens(words, algorithm)).join(F.broadcast(longest))
-            at = w.select(*keys, F.explode(F.expr("transform(spans, (x, i) -> struct(w[i] as first, slice(w, i + 1, __longest) as next, transform(slice(spans, i + 1, __longest), y -> y.e) as ends, x.s as s))")).alias("p")).select(*keys, "p.*")
+            read = lambda c, a=algorithm: stem_tokens(c, a) if a else c
+            words = segments.select(*keys, "line", F.posexplode(read(T.token_words(F.col("line"), reading))).alias("i", "first"))
             f = forms.where((F.col("reading") == reading) & (F.col("algorithm") == algorithm)).select("group_key", "rank", "tokens", "first", "width")
-            hit = at.join(f, "first").where("slice(next, 1, width) = tokens").select(*keys, "group_key", F.col("s").alias("start"), F.expr("ends[width - 1]").alias("end"), "rank")
+            met = words.join(f, "first").withColumn("spans", F.slice(T.token_spans(F.col("line"), reading), F.col("i") + 1, F.col("width")))
+            hit = met.withColumn("next", read(F.transform("spans", lambda x: x["t"]))).where("next = tokens").select(*keys, "group_key", F.col("spans")[0]["s"].alias("start"), F.expr("spans[width - 1].e").alias("end"), "rank")
             out = hit if out is None else out.unionByName(hit)
     return out
 
