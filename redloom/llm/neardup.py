@@ -4,7 +4,7 @@ Equal shingle sets are one class.  Shingles are ordered by how many texts hold t
 and n can only reach similarity t if their first ``m - ceil(t m) + 1`` and ``n - ceil(t n) + 1`` shingles in that order
 meet, and if behind some place where they meet both still have the ``t / (1 + t) (m + n)`` shingles they must share.
 Classes with the same prefix and size form one group; group pairs are filtered by these bounds; what passes is expanded to
-its classes and verified on whole sets.
+its classes, whose bitmaps bound what two sets can share, and the rest is verified on whole sets.
 
 Defined results
 * a word is an unbroken run of letters and digits, lower-cased; texts of fewer than ``least_words`` words, null and empty
@@ -24,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redloom.session import staged
+from redloom.session import discard, release, staged
 
-#: Counts of up to so many shingles go to the executors as one sorted array (16 bytes each); more are joined by a shuffle.
+#: Up to so many shingles go to the executors at once, as counts (16 bytes each) or as sets; more are joined by a shuffle.
 BROADCAST_SHINGLES = 4_000_000
 #: Up to so many representatives are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -100,8 +101,16 @@ def _count_shingles(width: int, least_words: int):
     return run
 
 
-_ROWS = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("gid", pa.int64()), ("pos", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64()))])
-_ROWS_DDL = "src string, key long, n int, class long, gid long, pos array<int>, prefix array<long>"
+_ROWS = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("gid", pa.int64()), ("rid", pa.int64()), ("pos", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+_ROWS_DDL = "src string, key long, n int, class long, gid long, rid long, pos array<int>, prefix array<long>, bits array<long>"
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """A set's bitmap: one bit a shingle, so two sets differ in at least as many shingles as their bitmaps in bits."""
+    at = (values.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 8)
+    out = np.zeros(256, np.uint8)
+    out[at.astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
 
 
 def _hash_bytes(*parts: bytes) -> int:
@@ -114,6 +123,8 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         told: set[int] = set()
+        # small numbers, partition first: they pack better on disk than hashes
+        rid = TaskContext.get().partitionId() << 36
         for batch in batches:
             src, key, text = (batch.column(i).to_pylist() for i in range(3))
             rows = []
@@ -128,7 +139,8 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
                 some = np.flatnonzero(often[order] > 1)
                 new = gid not in told
                 told.add(gid)
-                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, some.astype(np.int32) if new else None, prefix[some] if new else None))
+                rid += 1
+                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, rid, some.astype(np.int32) if new else None, prefix[some] if new else None, _bits(values)))
             if len(told) > 1_000_000:
                 told.clear()
             if rows:
@@ -139,23 +151,23 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
 
 def _rows_by_join(t: DataFrame, counts: DataFrame, width: int, threshold: float, least_words: int) -> DataFrame:
     """What ``_prefixes`` yields, for more counts than may be broadcast: shingles are joined to their counts and regrouped."""
-    sets = t.mapInArrow(_whole(width, least_words), "src string, key long, class long, shingles array<long>")
-    one = sets.select("src", "key", "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(counts, "shingle", "left")
+    sets = t.mapInArrow(_whole(width, least_words), "src string, key long, class long, shingles array<long>, bits array<long>")
+    one = sets.select("src", "key", "class", "bits", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(counts, "shingle", "left")
     kept = F.array_sort(F.collect_set(F.struct(F.coalesce(F.col("n_texts"), F.lit(1)).alias("often"), "shingle")))  # a set: rows may be repeated
     length = F.expr(f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1")
-    rows = one.groupBy("src", "key", "class", "n").agg(kept.alias("o")).withColumn("o", F.slice("o", F.lit(1), length))
+    rows = one.groupBy("src", "key", "class", "n").agg(kept.alias("o"), F.first("bits").alias("bits")).withColumn("o", F.slice("o", F.lit(1), length))
     rows = rows.withColumn("gid", F.xxhash64("src", "n", F.transform("o", lambda x: x["shingle"])))
     placed = F.filter(F.transform("o", lambda x, i: F.struct(x["often"].alias("often"), x["shingle"].alias("shingle"), i.alias("i"))), lambda x: x["often"] > 1)
-    return rows.select("src", "key", "n", "class", "gid", F.transform(placed, lambda x: x["i"]).alias("pos"), F.transform(placed, lambda x: x["shingle"]).alias("prefix"))
+    return rows.select("src", "key", "n", "class", "gid", F.monotonically_increasing_id().alias("rid"), F.transform(placed, lambda x: x["i"]).alias("pos"), F.transform(placed, lambda x: x["shingle"]).alias("prefix"), "bits")
 
 
 def _whole(width: int, least_words: int):
-    schema = pa.schema([("src", pa.string()), ("key", pa.int64()), ("class", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("src", pa.string()), ("key", pa.int64()), ("class", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             src, key, text = (batch.column(i).to_pylist() for i in range(3))
-            rows = [(s, k, _hash_bytes(v.tobytes()), v) for s, k, v in zip(src, key, shingle_batch(text, width, _seed(src), least_words)) if v is not None]
+            rows = [(s, k, _hash_bytes(v.tobytes()), v, _bits(v)) for s, k, v in zip(src, key, shingle_batch(text, width, _seed(src), least_words)) if v is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -186,35 +198,54 @@ def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8,
         values, often = table.column(0).to_numpy(), table.column(1).to_numpy()
         order = np.argsort(values)
         shared = spark.sparkContext.broadcast((values[order], often[order]))
+        discard(counts)
         rows = t.mapInArrow(_prefixes(width, threshold, least_words, shared), _ROWS_DDL)
     else:
         rows = _rows_by_join(t, counts, width, threshold, least_words)
     rows = staged(rows, "prefixes")
-    members = rows.select("src", "key", "class").distinct()
-    classes = staged(rows.groupBy("class").agg(F.min(F.struct("src", "key")).alias("one"), F.min("gid").alias("gid")), "classes")
-    # one posting a group and shingle: the exchange by shingle serves the distinct and both sides of the join
-    postings = rows.where("prefix is not null").select("gid", "n", F.explode(F.arrays_zip("pos", "prefix")).alias("x")).select(F.col("x.prefix").alias("shingle"), "gid", "n", F.col("x.pos").alias("pos"))
-    postings = postings.repartition("shingle").distinct()
-    a = postings.select("shingle", F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = postings.select("shingle", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    needed = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    met = a.join(b, "shingle").where((F.col("ga") < F.col("gb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.col("na") - F.col("pa") >= needed) & (F.col("nb") - F.col("pb") >= needed))
-    pairs = met.select("ga", "gb").distinct()
-    pairs = staged(pairs, "group-pairs")
-    inside = classes.select("gid", "class")
-    across = pairs.join(inside.toDF("ga", "class_a"), "ga").join(inside.toDF("gb", "class_b"), "gb").select("class_a", "class_b")
-    within = inside.toDF("gid", "class_a").join(inside.toDF("gid", "class_b"), "gid").where("class_a < class_b").select("class_a", "class_b")
-    candidates = staged(across.unionByName(within), "class-pairs")
+    release(spark)
+    members = staged(rows.select("src", "key", "class").distinct(), "members")
+    classes = staged(rows.groupBy("class").agg(F.min(F.struct("src", "key")).alias("one"), F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
+    tellers = staged(rows.where("prefix is not null").select("rid", "gid"), "tellers")
+    # Postings of the groups, each told by at least one row: 40 bits of the shingle, as a meeting by chance only costs a
+    # check; place and size in one number.
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("x.pos")
+    postings = rows.where("prefix is not null").select("rid", "n", F.explode(F.arrays_zip("pos", "prefix")).alias("x")).select(F.shiftrightunsigned("x.prefix", 24).alias("shingle"), "rid", packed.alias("np"))
+    postings = postings.repartition("shingle")
+    a = postings.select("shingle", F.col("rid").alias("ra"), F.col("np").alias("npa"))
+    b = postings.select("shingle", F.col("rid").alias("rb"), F.col("np").alias("npb"))
+    size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    na, nb = size("npa"), size("npb")
+    needed = threshold / (1 + threshold) * (na + nb) - 1e-9
+    met = a.join(b, "shingle").where((F.col("ra") < F.col("rb")) & (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (na - place("npa") >= needed) & (nb - place("npb") >= needed))
+    pairs = staged(met.select("ra", "rb").distinct(), "group-pairs")
+    discard(rows)
+    release(spark)
+    # groups to classes, with a safe bound on what two sets share from their sizes and bitmaps
+    own = classes.select("gid", "class", "n", "bits")
+    told = tellers.join(own, "gid")
+    across = pairs.join(told.toDF("g1", "ra", "c1", "n1", "b1"), "ra").join(told.toDF("g2", "rb", "c2", "n2", "b2"), "rb").where("g1 <> g2").select("c1", "n1", "b1", "c2", "n2", "b2")
+    within = own.toDF("g1", "c1", "n1", "b1").join(own.toDF("g2", "c2", "n2", "b2"), F.col("g1") == F.col("g2")).where("c1 < c2").select("c1", "n1", "b1", "c2", "n2", "b2")
+    apart = sum((F.bit_count(F.col("b1")[i].bitwiseXOR(F.col("b2")[i])) for i in range(1, 4)), F.bit_count(F.col("b1")[0].bitwiseXOR(F.col("b2")[0])))
+    shared_least = 2 * threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
+    near = across.unionByName(within).where(F.col("n1") + F.col("n2") - apart >= shared_least)
+    candidates = staged(near.select(F.least("c1", "c2").alias("class_a"), F.greatest("c1", "c2").alias("class_b")).distinct(), "class-pairs")
+    discard(pairs)
+    release(spark)
     # whole sets of the classes that are in a pair, from one text of each
     involved = candidates.select(F.col("class_a").alias("class")).union(candidates.select("class_b")).distinct()
     one = staged(classes.join(involved, "class", "left_semi").select("one.src", "one.key", "class"), "involved")
     few = one.count() <= BROADCAST_ROWS
-    sets = t.join(F.broadcast(one) if few else one, ["src", "key"]).select("src", "text", "class").mapInArrow(_sets(width, least_words), "class long, shingles array<long>").dropDuplicates(["class"])
+    sets = t.join(F.broadcast(one) if few else one, ["src", "key"]).select("src", "text", "class").mapInArrow(_sets(width, least_words), "class long, shingles array<long>")
     sets = staged(sets, "class-sets")
+    release(spark)
+    small = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
+    sets = F.broadcast(sets) if small else sets
     left, right = sets.toDF("class_a", "set_a"), sets.toDF("class_b", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     checked = candidates.join(left, "class_a").join(right, "class_b").withColumn("__both", both).withColumn("similarity", F.col("__both") / (F.size("set_a") + F.size("set_b") - F.col("__both")))
-    found = checked.where(F.col("similarity") >= threshold - 1e-12).select("class_a", "class_b", "similarity")
+    # a text sent again gave its set twice
+    found = checked.where(F.col("similarity") >= threshold - 1e-12).select("class_a", "class_b", "similarity").distinct()
     return members, found
 
 
