@@ -24,14 +24,14 @@ def test_porter(spark):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("right- of No\xadn-Smoking ½ é ß -x",), ("",), (None,)], "t string")
+    df = spark.createDataFrame([("right- of No\xadn-Smoking ½ e\u0301 ß -x",), ("",), (None,)], "t string")
     rows = df.select(T.token_spans(F.col("t")).alias("j"), T.token_spans(F.col("t"), "split").alias("s")).collect()
-    assert [(x.s, x.e, x.t) for x in rows[0].j] == [(0, 6, "right"), (7, 9, "of"), (10, 22, "nonsmoking"), (23, 24, "½"), (25, 27, "é"), (28, 29, "ss"), (31, 32, "x")]
-    assert [x.t for x in rows[0].s] == ["right", "of", "no", "n", "smoking", "½", "é", "ss", "x"]
+    assert [(x.s, x.e, x.t) for x in rows[0].j] == [(0, 6, "right"), (7, 9, "of"), (10, 22, "nonsmoking"), (23, 24, "½"), (25, 27, "e\u0301"), (28, 29, "ss"), (31, 32, "x")]
+    assert [x.t for x in rows[0].s] == ["right", "of", "no", "n", "smoking", "½", "e\u0301", "ss", "x"]
     assert rows[1].j == [] and rows[2].j is None
     n = spark.range(1, 60).select(T.letters_label(F.col("id")).alias("a"), T.roman_label(F.col("id")).alias("r")).collect()
     assert (n[0].a, n[25].a, n[26].a, n[53].a) == ("a", "z", "aa", "bbb") and (n[3].r, n[8].r, n[48].r) == ("iv", "ix", "xlix")
-    assert spark.createDataFrame([("Éß",)], "t string").select(T.exact_fold(F.col("t"))).first()[0] == "éss"
+    assert spark.createDataFrame([("E\u0301ß",)], "t string").select(T.exact_fold(F.col("t"))).first()[0] == "\xe9ss"
 
 
 def test_canonical_json(spark):
