@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from redloom.session import discard, release, staged
 
-#: Up to so many shingles go to the executors at once, as counts (16 bytes each) or as sets; more are joined by a shuffle.
+#: Up to so many shingles go to the executors at once, as counts (5 bytes each) or as sets; more are joined by a shuffle.
 BROADCAST_SHINGLES = 4_000_000
 #: Up to so many representatives are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -117,11 +117,29 @@ def _hash_bytes(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
+def _high(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
+def frequency_levels(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts in 5 bytes each: the sorted high halves of the shingles and a level that grows with the count, 8 to an octave.
+
+    Shingles of one high half share the highest level.  Any order that all texts share will do, and a shingle that is not
+    in the table is in one text only.
+    """
+    high = _high(values)
+    level = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 2)))).astype(np.uint8)
+    order = np.argsort(high, kind="stable")
+    high, level = high[order], level[order]
+    first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else np.zeros(0, np.int64)
+    return high[first], np.maximum.reduceat(level, first) if len(high) else level
+
+
 def _prefixes(width: int, threshold: float, least_words: int, shared):
     """Per text its class, group and prefix; shingles of a single text keep their place but are left out, and so are prefixes the partition has told before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
+        known, level = shared.value
         told: set[int] = set()
         # small numbers, partition first: they pack better on disk than hashes
         rid = TaskContext.get().partitionId() << 36
@@ -131,12 +149,13 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
             for s, k, values in zip(src, key, shingle_batch(text, width, _seed(src), least_words)):
                 if values is None:
                     continue
-                at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-                often = np.where(known[at] == values, count[at], 1) if len(known) else np.ones(len(values), np.int64)
+                high = _high(values)
+                at = np.minimum(np.searchsorted(known, high), max(len(known) - 1, 0))
+                often = np.where(known[at] == high, level[at], 0) if len(known) else np.zeros(len(values), np.uint8)
                 order = np.lexsort((values, often))[: prefix_length(len(values), threshold)]
                 prefix = values[order]
                 gid = _hash_bytes(prefix.tobytes(), len(values).to_bytes(8, "little"), s.encode())
-                some = np.flatnonzero(often[order] > 1)
+                some = np.flatnonzero(often[order])
                 new = gid not in told
                 told.add(gid)
                 rid += 1
@@ -196,8 +215,7 @@ def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8,
     if counts.count() <= BROADCAST_SHINGLES:
         table = counts.toArrow()
         values, often = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.argsort(values)
-        shared = spark.sparkContext.broadcast((values[order], often[order]))
+        shared = spark.sparkContext.broadcast(frequency_levels(values, often))
         discard(counts)
         rows = t.mapInArrow(_prefixes(width, threshold, least_words, shared), _ROWS_DDL)
     else:

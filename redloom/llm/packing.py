@@ -2,8 +2,8 @@
 
 Sizes come from a public tokenizer.  Items are spread over shards of a bounded number of windows; in a shard the
 Karmarkar-Karp method merges the two partial partitions of the largest differences, the full windows of one on the empty
-ones of the other, until one near-equal partition is left.  Where a window exceeds the capacity, what lies above it is put
-into the room of other windows if it fits; otherwise the number of windows rises and the shard is solved again.
+ones of the other, until one near-equal partition is left.  What stands over the capacity is exchanged for differences
+other windows have room for; for items that find no room the number of windows rises.
 
 Defined results
 * null text: no item.  Empty text: an item of no tokens, in a container like any other.
@@ -58,83 +58,123 @@ def token_sizes(df: DataFrame, key: str, text: str, tokenizer: str | None = None
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
     """A partition of the sizes' indices into ``k`` windows of near-equal sums."""
     n = len(sizes)
-    left, right = [-1] * n, [-1] * n  # nodes 0..n-1 are items, later ones merges
-
-    heap: list = []
-    for i in range(n):
-        heapq.heappush(heap, (-int(sizes[i]), i, np.array([sizes[i]], np.int64), np.array([i], np.int64)))
-    made = n
+    # nodes 0..n-1 are items, later ones two nodes that share a window; there are at most n - 1 of those
+    left, right = np.full(2 * n + 1, -1), np.full(2 * n + 1, -1)
+    heap: list = [(-int(sizes[i]), i, sizes[i : i + 1].astype(np.int64), np.array([i])) for i in range(n)]
+    heapq.heapify(heap)
+    made, node = n, n
     while len(heap) > 1:
         _, _, sa, na = heapq.heappop(heap)
         _, _, sb, nb = heapq.heappop(heap)
-        free = k - len(sa) - len(sb)
-        if free >= 0:  # windows to spare: nothing has to share one
+        a, b = len(sa), len(sb)
+        if a + b <= k:  # windows to spare: nothing has to share one
             sums, nodes = np.concatenate([sa, sb]), np.concatenate([na, nb])
         else:
-            # the largest of one on the smallest of the other
-            sa, na = np.r_[sa, np.zeros(k - len(sa), np.int64)], np.r_[na, np.full(k - len(na), -1)]
-            sb, nb = np.r_[np.zeros(k - len(sb), np.int64), sb[::-1]], np.r_[np.full(k - len(nb), -1), nb[::-1]]
-            sums = sa + sb
-            both = np.flatnonzero((na >= 0) & (nb >= 0))
-            nodes = np.where(na >= 0, na, nb)
-            for i in both:
-                left.append(int(na[i]))
-                right.append(int(nb[i]))
-            nodes[both] = len(left) - len(both) + np.arange(len(both))
+            # the largest of one on the smallest of the other: only the last ``both`` of each share
+            both = a + b - k
+            sums, nodes = np.empty(k, np.int64), np.empty(k, np.int64)
+            sums[: a - both], nodes[: a - both] = sa[: a - both], na[: a - both]
+            sums[a:], nodes[a:] = sb[: b - both], nb[: b - both]
+            x, y = na[a - both :], nb[b - both :][::-1]
+            left[node : node + both], right[node : node + both] = x, y
+            sums[a - both : a], nodes[a - both : a] = sa[a - both :] + sb[b - both :][::-1], np.arange(node, node + both)
+            node += both
         order = np.argsort(-sums, kind="stable")
         sums, nodes = sums[order], nodes[order]
-        used = nodes >= 0
-        sums, nodes = sums[used], nodes[used]
         low = sums[-1] if len(sums) == k else 0
         made += 1
         heapq.heappush(heap, (-int(sums[0] - low), made, sums, nodes))
     windows = []
-    for root in heap[0][3] if heap else []:
-        items, stack = [], [int(root)]
+    for root in heap[0][3].tolist() if heap else []:
+        items, stack = [], [root]
         while stack:
             x = stack.pop()
             if x < n:
                 items.append(x)
             else:
-                stack += [left[x], right[x]]
+                stack += [int(left[x]), int(right[x])]
         windows.append(items)
     return windows
 
 
-def fill_windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Windows of at most ``capacity``; ``sizes`` are at most that."""
-    total = int(sizes.sum())
-    half = np.sort(sizes[2 * sizes > capacity])
-    k = max(1, -(-total // capacity), len(half))
-    # with every item over half the capacity in a window of its own, the rest has to fit into what they leave
-    while True:
-        windows = difference(sizes, k)
-        sums = [int(sizes[w].sum()) for w in windows]
-        out: list[int] = []
-        for i, w in enumerate(windows):
-            if sums[i] > capacity:
-                for x in sorted(w, key=lambda x: sizes[x]):
-                    if sums[i] - int(sizes[x]) <= capacity or len(w) > 1:
-                        w.remove(x)
-                        sums[i] -= int(sizes[x])
-                        out.append(x)
-                    if sums[i] <= capacity:
-                        break
-        windows += [[] for _ in range(k - len(windows))]
-        sums += [0] * (k - len(sums))
-        short = 0
-        for x in sorted(out, key=lambda x: -sizes[x]):
-            room = capacity - np.array(sums)
-            fit = np.where(room >= sizes[x], room, np.iinfo(np.int64).max)
-            at = int(fit.argmin())
-            if room[at] < sizes[x]:
-                short += int(sizes[x])
+def _exchange(windows: list[list[int]], sizes: np.ndarray, capacity: int) -> list[int]:
+    """Bring windows over the capacity down by exchanging differences; the items no window has room for.
+
+    An item of such a window changes places with a smaller one (or none) of a window that has room for the difference:
+    the least difference that is enough, else the greatest there is room for.  Where there is none, the window gives up
+    the least item that is enough.
+    """
+    n = len(sizes)
+    at = np.empty(n, np.int64)
+    for i, w in enumerate(windows):
+        at[w] = i
+    sums = np.bincount(at, sizes, len(windows)).astype(np.int64)
+    for i in np.argsort(-sums, kind="stable").tolist():
+        while sums[i] > capacity:
+            over = sums[i] - capacity
+            # partners: every item of another window, and no item of each
+            part = np.concatenate([np.where(at < 0, i, at), np.arange(len(windows))])
+            size = np.concatenate([sizes, np.zeros(len(windows), np.int64)])
+            room = np.where(part == i, -1, capacity - sums[part])
+            best = None
+            for x in np.flatnonzero(at == i).tolist():
+                delta = int(sizes[x]) - size
+                fits = np.flatnonzero((delta > 0) & (delta <= room))
+                if not len(fits):
+                    continue
+                enough = fits[delta[fits] >= over]
+                y = int(enough[delta[enough].argmin()]) if len(enough) else int(fits[delta[fits].argmax()])
+                rank = (delta[y] >= over, -delta[y] if delta[y] >= over else delta[y])
+                if best is None or rank > best[0]:
+                    best = (rank, x, y, int(delta[y]))
+            if best is None:
+                own = np.flatnonzero(at == i)
+                enough = own[sizes[own] >= over]
+                x = int(enough[sizes[enough].argmin()] if len(enough) else own[sizes[own].argmax()])
+                at[x] = -1
+                sums[i] -= sizes[x]
                 continue
-            windows[at].append(x)
-            sums[at] += int(sizes[x])
-        if not short:
-            return [w for w in windows if w]
-        k += max(1, short // (2 * capacity))
+            _, x, y, d = best
+            j = int(part[y])
+            at[x] = j
+            if y < n:
+                at[y] = i
+            sums[i] -= d
+            sums[j] += d
+    loose = []
+    for x in sorted(np.flatnonzero(at < 0).tolist(), key=lambda x: -sizes[x]):
+        room = capacity - sums
+        fit = np.where(room >= sizes[x], room, np.iinfo(np.int64).max)
+        j = int(fit.argmin())
+        if room[j] < sizes[x]:
+            loose.append(x)
+            continue
+        at[x] = j
+        sums[j] += sizes[x]
+    for w in windows:
+        w.clear()
+    for x, i in enumerate(at.tolist()):
+        if i >= 0:
+            windows[i].append(x)
+    return loose
+
+
+def fill_windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Windows of at most ``capacity``; ``sizes`` are at most that.
+
+    Differencing starts with the fewest windows there can be; what stands over the capacity is exchanged for differences
+    that other windows have room for.  For items that find no room the number of windows rises: they are differenced into
+    further windows.
+    """
+    out: list[list[int]] = []
+    rest = np.arange(len(sizes))
+    while len(rest):
+        own = sizes[rest]
+        windows = difference(own, max(1, -(-int(own.sum()) // capacity)))
+        loose = _exchange(windows, own, capacity)
+        out += [rest[w].tolist() for w in windows if w]
+        rest = rest[loose]
+    return out
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
