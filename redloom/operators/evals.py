@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redloom.functions.text import collapse
+from redloom.session import staged
 
 #: Fewer strict hits than this and a report is inconclusive.
 LEAST_EVIDENCE = 20
@@ -71,20 +72,16 @@ def grade_states(samples: DataFrame, grades: DataFrame, criteria: list[str]) ->
 def even_sample(rows: DataFrame, order: list[str], n: int = 12) -> DataFrame:
     """``n`` rows evenly spread over the order, first and last among them; all rows if there are no more.
 
-    Row numbers come from a two-level count, so no task holds all rows.
+    Rows are numbered by their partition of the sorted table and their place in it, so no task holds all rows.
     """
-    spark = rows.sparkSession
-    ordered = rows.orderBy(*order)
-    total = rows.count()
-    if total <= n:
-        return ordered
-    step = (total - 1) / (n - 1) if n > 1 else 0
-    wanted = sorted({int(round(i * step)) for i in range(n)})
-    indexed = ordered.select("*").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    numbered = spark.createDataFrame(indexed, StructType([*rows.schema.fields, StructField("__ix", LongType())]))
-    return numbered.where(F.col("__ix").isin(wanted)).drop("__ix")
+    kept = staged(rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "even-sample")
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row a partition
+    sizes = kept.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    begin = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = kept.count()
+    wanted = range(total) if total <= n else sorted({int(round(i * (total - 1) / max(1, n - 1))) for i in range(n)})
+    return kept.withColumn("__p", part).join(F.broadcast(begin), "__p").where((F.col("__b") + place).isin(list(wanted))).select(*rows.columns)
 
 
 def cost(calls: DataFrame) -> DataFrame:
