@@ -249,3 +249,17 @@ def test_skew_join(spark):
     a = skew_join(left, right, ["k"], "left", spread=F.col("id"), hot_rows=100)
     b = left.join(right, ["k"], "left")
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(*a.columns).collect()), key=str)
+
+
+def test_scratch(spark):
+    from redloom import session
+
+    df = session.staged(spark.range(3), "x")
+    name = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 3 and session.path_exists(spark, name)
+    session.discard(df)
+    assert not session.path_exists(spark, name)
+    kept = session.staged(spark.range(3), "y").inputFiles()[0].rsplit("/", 1)[0]
+    session.drop_scratch(spark)
+    session.release(spark)
+    assert not session.path_exists(spark, kept)
