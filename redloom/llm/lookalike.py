@@ -108,13 +108,14 @@ def same_look_pairs(df: DataFrame, key: str, column: str, plain: str) -> DataFra
 
     Equal texts are joined as one class first, so copies only meet when the pairs of differing classes are written out.
     """
-    d = df.where(F.col(plain).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(plain)).alias("look"), F.col(plain).alias("plain"), F.col(column).alias("raw"))
-    classes = d.groupBy("look", "plain", "raw").agg(F.min("key").alias("class"))
-    several = classes.groupBy("look", "plain").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look", "plain")
-    some = d.join(several, ["look", "plain"])
-    a = some.select("look", "plain", F.col("raw").alias("raw_a"), F.col("key").alias("key_a"))
-    b = some.select("look", "plain", F.col("raw").alias("raw_b"), F.col("key").alias("key_b"))
-    return a.join(b, ["look", "plain"]).where("key_a < key_b and raw_a <> raw_b").select("key_a", "key_b")
+    d = df.where(F.col(plain).isNotNull()).select(F.col(key).alias("key"), F.col(plain).alias("plain"), F.col(column).alias("raw"))
+    classes = d.groupBy("plain", "raw").agg(F.min("key").alias("class"))
+    several = classes.groupBy("plain").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("plain")
+    classes = staged(classes.join(several, "plain"), "look-classes")
+    pairs = classes.select("plain", F.col("class").alias("ca")).join(classes.select("plain", F.col("class").alias("cb")), "plain").where("ca < cb").select("ca", "cb")
+    members = d.join(classes, ["plain", "raw"]).select("key", "class")
+    both = pairs.join(members.toDF("a", "ca"), "ca").join(members.toDF("b", "cb"), "cb")
+    return both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
 
 
 def words(plain: Column) -> Column:

@@ -101,8 +101,8 @@ def _count_shingles(width: int, least_words: int):
     return run
 
 
-_ROWS = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("gid", pa.int64()), ("rid", pa.int64()), ("pos", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
-_ROWS_DDL = "src string, key long, n int, class long, gid long, rid long, pos array<int>, prefix array<long>, bits array<long>"
+_ROWS = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("gid", pa.int64()), ("rid", pa.int64()), ("pos", pa.list_(pa.int32())), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int16())), ("bits", pa.list_(pa.int64()))])
+_ROWS_DDL = "src string, key long, n int, class long, gid long, rid long, pos array<int>, low array<int>, high array<short>, bits array<long>"
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -117,6 +117,12 @@ def _hash_bytes(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
+def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 40 bits of hashes as 32 and 8, which a table holds in five bytes."""
+    upper = (values.view(np.uint64) >> np.uint64(24)).astype(np.int64)
+    return ((upper & 0xFFFFFFFF) - (1 << 31)).astype(np.int32), (upper >> 32).astype(np.int16)
+
+
 def _high(values: np.ndarray) -> np.ndarray:
     return (values.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
 
@@ -159,7 +165,7 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
                 new = gid not in told
                 told.add(gid)
                 rid += 1
-                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, rid, some.astype(np.int32) if new else None, prefix[some] if new else None, _bits(values)))
+                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, rid, *((some.astype(np.int32), *_split(prefix[some])) if new else (None, None, None)), _bits(values)))
             if len(told) > 1_000_000:
                 told.clear()
             if rows:
@@ -177,7 +183,7 @@ def _rows_by_join(t: DataFrame, counts: DataFrame, width: int, threshold: float,
     rows = one.groupBy("src", "key", "class", "n").agg(kept.alias("o"), F.first("bits").alias("bits")).withColumn("o", F.slice("o", F.lit(1), length))
     rows = rows.withColumn("gid", F.xxhash64("src", "n", F.transform("o", lambda x: x["shingle"])))
     placed = F.filter(F.transform("o", lambda x, i: F.struct(x["often"].alias("often"), x["shingle"].alias("shingle"), i.alias("i"))), lambda x: x["often"] > 1)
-    return rows.select("src", "key", "n", "class", "gid", F.monotonically_increasing_id().alias("rid"), F.transform(placed, lambda x: x["i"]).alias("pos"), F.transform(placed, lambda x: x["shingle"]).alias("prefix"), "bits")
+    return rows.select("src", "key", "n", "class", "gid", F.monotonically_increasing_id().alias("rid"), F.transform(placed, lambda x: x["i"]).alias("pos"), F.transform(placed, lambda x: (F.shiftrightunsigned(x["shingle"], 24).bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("low"), F.transform(placed, lambda x: F.shiftrightunsigned(x["shingle"], 56).cast("short")).alias("high"), "bits")
 
 
 def _whole(width: int, least_words: int):
@@ -224,11 +230,12 @@ def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8,
     release(spark)
     members = staged(rows.select("src", "key", "class").distinct(), "members")
     classes = staged(rows.groupBy("class").agg(F.min(F.struct("src", "key")).alias("one"), F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
-    tellers = staged(rows.where("prefix is not null").select("rid", "gid"), "tellers")
+    tellers = staged(rows.where("pos is not null").select("rid", "gid"), "tellers")
     # Postings of the groups, each told by at least one row: 40 bits of the shingle, as a meeting by chance only costs a
     # check; place and size in one number.
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("x.pos")
-    postings = rows.where("prefix is not null").select("rid", "n", F.explode(F.arrays_zip("pos", "prefix")).alias("x")).select(F.shiftrightunsigned("x.prefix", 24).alias("shingle"), "rid", packed.alias("np"))
+    upper = F.shiftleft(F.col("x.high").cast("long"), 32) + (F.col("x.low").cast("long") + F.lit(1 << 31))
+    postings = rows.where("pos is not null").select("rid", "n", F.explode(F.arrays_zip("pos", "low", "high")).alias("x")).select(upper.alias("shingle"), "rid", packed.alias("np"))
     postings = postings.repartition("shingle")
     a = postings.select("shingle", F.col("rid").alias("ra"), F.col("np").alias("npa"))
     b = postings.select("shingle", F.col("rid").alias("rb"), F.col("np").alias("npb"))
