@@ -1,9 +1,12 @@
 """Evaluation passages inside training texts: rare word n-grams as seeds, Smith-Waterman on what they meet.
 
-The frequency of every item n-gram is counted over the whole corpus.  Of each stretch of ``run`` words of an item the
-rarest n-gram becomes a seed, so any copied stretch of that length holds a seed.  A seed met in a text opens a window on
-its diagonal; windows are aligned in batches (match 2, mismatch -1, gap -1), which scores edited copies too, and the
-longest unbroken run is read off the same matrices.
+Every n-gram of an item is a seed, so a copy is met wherever ``seed`` words in a row were left unedited.  A seed met in a
+text opens a window as wide as any alignment through it can be; windows of one item that overlap are one, and are aligned
+in batches (match 2, mismatch -1, gap -1), which scores edited copies too.  The longest unbroken run is read off the same
+matrices.  A window whose words cannot reach what is asked for is not aligned.
+
+Where only unbroken runs are asked for, the frequency of every item n-gram is counted over the whole corpus and the rarest
+of each stretch of ``run`` words is the seed: a copied stretch holds all of its n-grams.
 
 Defined results
 * a word is an unbroken run of letters and digits, lower-cased.
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 SEED = 6
 #: Words of items that go to the executors at a time; more items are taken in blocks.
 BLOCK_WORDS = 1_000_000
-SLACK = 12
+#: Columns of the matrices that are filled in step.
+CELLS = 25_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +74,7 @@ class Items:
         self.distinct = np.unique(self.gram)
 
     def keep_rarest(self, frequency: dict[int, int], run: int) -> None:
-        """Drop all n-grams but the rarest of each stretch of ``run`` words."""
+        """Drop all n-grams but the rarest of each stretch of ``run`` words; for unbroken runs only, as an edit may fall on the rarest."""
         keep = np.zeros(len(self.gram), bool)
         span = max(1, run - self.width + 1)
         for item in range(len(self.words)):
@@ -79,6 +83,9 @@ class Items:
             for i in range(max(1, len(at) - span + 1)):
                 keep[at[min(range(i, min(i + span, len(at))), key=lambda j: (often[j], j))]] = True
         self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+        self.sort()
+
+    def sort(self) -> None:
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.distinct = np.unique(self.gram)
@@ -109,24 +116,38 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman score and longest unbroken common run of each item with its window, all in step."""
     b, m, w = len(items), max(map(len, items)), max(map(len, windows))
-    a = np.full((b, m), -1, np.int32)
-    d = np.zeros((b, w), np.int32)
+    a = np.full((m, b), -1, np.int32)
+    d = np.zeros((w, b), np.int32)
     for i, (x, y) in enumerate(zip(items, windows)):
-        a[i, : len(x)], d[i, : len(y)] = x, y
-    score = np.zeros((b, w + 1), np.int16)
-    run = np.zeros((b, w + 1), np.int16)
-    best, longest = np.zeros(b, np.int16), np.zeros(b, np.int16)
-    ramp = np.arange(w + 1, dtype=np.int16)
+        a[: len(x), i], d[: len(y), i] = x, y
+    # a column a pair; every array is made once
+    score, new, run, after = (np.zeros((w + 1, b), np.int16) for _ in range(4))
+    best, longest = np.zeros((w + 1, b), np.int16), np.zeros((w + 1, b), np.int16)
+    same, gain, drop = np.empty((w, b), bool), np.empty((w, b), np.int16), np.empty((w, b), np.int16)
+    ramp = np.arange(w + 1, dtype=np.int16)[:, None]
     for i in range(m):
-        same = d == a[:, i : i + 1]
-        new = np.zeros_like(score)
-        np.maximum(score[:, :-1] + np.where(same, np.int16(2), np.int16(-1)), score[:, 1:] - np.int16(1), out=new[:, 1:])
-        np.maximum(new, 0, out=new)
-        score = np.maximum.accumulate(new + ramp, axis=1) - ramp  # gaps in the item's row
-        run[:, 1:] = np.where(same, run[:, :-1] + np.int16(1), 0)
-        np.maximum(best, score.max(axis=1), out=best)
-        np.maximum(longest, run.max(axis=1), out=longest)
-    return best, longest
+        np.equal(d, a[i], out=same)
+        np.multiply(same, np.int16(3), out=gain)
+        gain -= np.int16(1)
+        gain += score[:-1]
+        np.subtract(score[1:], np.int16(1), out=drop)
+        np.maximum(gain, drop, out=gain)
+        np.maximum(gain, 0, out=new[1:])
+        new[0] = 0
+        new += ramp
+        step = 1
+        while step <= w:  # gaps in the item's row: the greatest so far, by doubling
+            np.maximum(new[step:], new[:-step], out=score[step:])
+            score[:step] = new[:step]
+            new, score = score, new
+            step *= 2
+        np.subtract(new, ramp, out=score)
+        np.add(run[:-1], np.int16(1), out=after[1:])
+        after[1:] *= same
+        run, after = after, run
+        np.maximum(best, score, out=best)
+        np.maximum(longest, run, out=longest)
+    return best.max(axis=0), longest.max(axis=0)
 
 
 def _count_grams(items: Items):
@@ -142,10 +163,43 @@ def _count_grams(items: Items):
     return run
 
 
-def _find(items: Items):
+def _windows(jobs: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping ranges of equal ``jobs`` as one."""
+    order = np.lexsort((lo, jobs))
+    jobs, lo, hi = jobs[order], lo[order], hi[order]
+    # the furthest end so far within a job
+    far = np.maximum.accumulate(hi + jobs * (int(hi.max()) + 1)) - jobs * (int(hi.max()) + 1)
+    first = np.flatnonzero(np.r_[True, (jobs[1:] != jobs[:-1]) | (lo[1:] > far[:-1])])
+    return jobs[first], lo[first], np.maximum.reduceat(hi, first)
+
+
+def _bounds(ids: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, held: np.ndarray, size: int) -> np.ndarray:
+    """What no alignment of the item with its window can exceed: the best sum of 2 a word of the item and -1 any other."""
+    out = np.zeros(len(item), np.int64)
+    for i in range(0, len(item), 1024):
+        n = hi[i : i + 1024] - lo[i : i + 1024]
+        begin = np.r_[0, np.cumsum(n)[:-1]]
+        words = ids[np.repeat(lo[i : i + 1024] - begin, n) + np.arange(n.sum())].astype(np.int64)
+        key = np.repeat(item[i : i + 1024], n) * size + words
+        own = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
+        sums = np.zeros((len(n), int(n.max()) + 1), np.int32)
+        sums[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(begin, n) + 1] = np.where(own, 2, -1)
+        sums = np.cumsum(sums, axis=1, dtype=np.int32)
+        out[i : i + 1024] = (sums - np.minimum.accumulate(sums, axis=1)).max(axis=1)
+    return out
+
+
+def _find(items: Items, asked: int = 0, least: float = 0.0):
+    """Best alignments of what the seeds meet; windows that can reach neither a run of ``asked`` words nor the similarity ``least`` are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(items.item_id, np.int64)
+        lengths = np.array([len(w) for w in items.words], np.int64)
+        size = len(items.vocabulary) + 1
+        held = np.unique(np.concatenate([np.int64(i) * size + w.astype(np.int64) for i, w in enumerate(items.words)]))
+        enough = np.minimum(2 * asked, np.ceil(2 * least * lengths - 1e-9))
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             ids, begin = _ids(texts, items.vocabulary, items.width)
             end = np.r_[begin[1:], len(ids)] - items.width
             grams = gram_hashes(ids, items.width)
@@ -157,19 +211,30 @@ def _find(items: Items):
             which = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             at = np.repeat(at, count)
             item, doc = items.item[which], np.searchsorted(begin, at, "right") - 1
-            # windows of one item that begin close together are one
-            start = (at - items.place[which]) // SLACK
-            jobs = np.unique(np.stack([doc, item, start], 1), axis=0)
-            lengths = np.array([len(w) for w in items.words])
-            jobs = jobs[np.argsort(lengths[jobs[:, 1]], kind="stable")]
-            rows = []
-            for i in range(0, len(jobs), 256):
-                some = jobs[i : i + 256]
-                own = [items.words[x] for x in some[:, 1]]
-                windows = [ids[max(begin[x], s * SLACK - SLACK) : min(end[x], (s + 2) * SLACK + len(w))] for (x, _, s), w in zip(some, own)]
-                best, longest = align(own, windows)
-                rows += [(items.item_id[x], keys[k], int(p), int(r), len(w), float(p) / (2 * len(w))) for (k, x, _), w, p, r in zip(some, own, best, longest)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["item_id", "key", "score", "run", "item_words", "similarity"])
+            # an aligned word makes up for two gaps at most, so a side of n item words takes 3 n words of the text at most
+            place = items.place[which]
+            lo = np.maximum(begin[doc], at - 3 * place)
+            hi = np.minimum(end[doc], at + items.width + 3 * (lengths[item] - place - items.width))
+            job, lo, hi = _windows(doc * len(lengths) + item, lo, hi)
+            doc, item = job // len(lengths), job % len(lengths)
+            can = np.flatnonzero(_bounds(ids, item, lo, hi, held, size) >= enough[item])
+            can = can[np.lexsort((hi[can] - lo[can], lengths[item[can]] // 16))]
+            out = []
+            i = 0
+            while i < len(can):
+                # as many windows in step as keep the matrices small
+                some = can[i : i + 256]
+                some = some[: max(1, int(np.searchsorted(np.maximum.accumulate(hi[some] - lo[some]) * np.arange(1, len(some) + 1), CELLS, "right")))]
+                i += len(some)
+                own = [items.words[x] for x in item[some]]
+                best, longest = align(own, [ids[a:b] for a, b in zip(lo[some], hi[some])])
+                good = np.flatnonzero((longest >= asked) | (best >= 2 * least * lengths[item[some]] - 1e-9))
+                out.append((some[good], best[good], longest[good]))
+            if out:
+                some, best, longest = (np.concatenate(x) for x in zip(*out))
+                own = lengths[item[some]]
+                columns = [names[item[some]], keys.take(pa.array(doc[some])), best.astype(np.int32), longest.astype(np.int32), own.astype(np.int32), best / (2.0 * own)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["item_id", "key", "score", "run", "item_words", "similarity"])
 
     return run
 
@@ -189,10 +254,11 @@ def blocks_of(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int
         yield rows
 
 
-def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str = "item_id", item_text: str = "text", *, run: int = 12, seed: int = SEED) -> DataFrame:
+def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str = "item_id", item_text: str = "text", *, run: int = 12, seed: int = SEED, least: float = 0.0, edited: bool = True) -> DataFrame:
     """(item_id, key, score, run, item_words, similarity): every text that a seed of an item meets, with its best alignment.
 
-    Every text that holds ``run`` consecutive words of an item has a row with that run; other rows are edited or partial copies.
+    Every text that holds ``run`` consecutive words of an item has a row with that run.  Other rows are edited or partial
+    copies: with ``edited`` all that keep ``seed`` words in a row and reach the similarity ``least``, without it only some.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -202,9 +268,12 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
         block = Items(rows, seed)
         if not len(block.gram):
             continue
-        # as many rows as the block has n-grams
-        counted = docs.select("text").mapInArrow(_count_grams(block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = counted.toPandas()
-        block.keep_rarest(dict(zip(counts["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counts["n"].tolist())), run)
-        found = found.unionByName(docs.mapInArrow(_find(block), schema))
+        if edited:
+            block.sort()
+        else:
+            # as many rows as the block has n-grams
+            counted = docs.select("text").mapInArrow(_count_grams(block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            counts = counted.toPandas()
+            block.keep_rarest(dict(zip(counts["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counts["n"].tolist())), run)
+        found = found.unionByName(docs.mapInArrow(_find(block, run, least), schema))
     return found.groupBy("item_id", "key").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.first("item_words").alias("item_words"), F.max("similarity").alias("similarity"))

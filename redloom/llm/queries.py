@@ -65,17 +65,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumnRenamed("key", "doc_id")
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), run=12)
+def _leaks(spark: SparkSession, d: str, **how) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), run=12, **how)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where("run >= 12").select("item_id", F.col("key").alias("doc_id"))
+    return _leaks(spark, d, edited=False).where("run >= 12").select("item_id", F.col("key").alias("doc_id"))
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Edited and partial copies too, with their alignment."""
-    return _leaks(spark, d).where("run >= 12 or similarity >= 0.4").withColumnRenamed("key", "doc_id")
+    return _leaks(spark, d, least=0.4).where("run >= 12 or similarity >= 0.4").withColumnRenamed("key", "doc_id")
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -72,3 +72,30 @@ def test_edited_copy_and_empty(spark):
     assert (r.item_id, r.key, r.run) == (7, 1, 14) and r.similarity > 0.85
     assert L.find_leaks(d.where("false"), "id", "text", i).count() == 0
     assert L.find_leaks(d, "id", "text", i.where("false")).count() == 0
+
+
+def test_copies_edited_every_eight_words(spark):
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(60)}" for _ in range(72)]
+    docs = []
+    for k in range(12):
+        copy, n = [], 0
+        for i, w in enumerate(item[: 72 - 3 * k]):
+            if i % 8 == 7:
+                # a word changed, left out, or words put in
+                copy += [[f"x{i}"], [], [w, f"y{i}", f"z{i}"]][(k + n) % 3]
+                n += 1
+            else:
+                copy.append(w)
+        docs.append((k, " ".join([f"a{j}" for j in range(5 * k)] + copy + ["after"] * k)))
+    # elsewhere every other word of the item is common, so its rarest n-grams are those across edits
+    docs += [(100 + k, " ".join(item[6 * k : 6 * k + 7])) for k in range(11)]
+    d = spark.createDataFrame(docs, "id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.key: (r.score, r.run) for r in L.find_leaks(d, "id", "text", i).where("run >= 12 or similarity >= 0.4").collect()}
+    want = {}
+    for k, text in docs:
+        score, run = sw(item, L.words_of(text))
+        if run >= 12 or score / (2 * len(item)) >= 0.4:
+            want[k] = (score, run)
+    assert len(want) >= 11 and max(run for _, run in want.values()) < 12 and got == want
