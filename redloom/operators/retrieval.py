@@ -25,41 +25,66 @@ def resolve_document(documents: DataFrame, wanted: str) -> str:
     return ids[0]
 
 
+def text_queries(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    """Queries as the tiers take them, many at a time: (query_id, tokens); those without a token ask nothing."""
+    return queries.select(F.col(query_id).alias("query_id"), T.token_words(F.col(text)).alias("tokens")).where("size(tokens) > 0").distinct()
+
+
+def _asked(spark, query: str | DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table of queries, and the columns that tell results apart: none where one query was given as text."""
+    if isinstance(query, DataFrame):
+        return query.select("query_id", "tokens"), ["query_id"]
+    return text_queries(spark.createDataFrame([(0, query)], "i int, q string"), "i", "q"), []
+
+
+def _meet(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """``texts(..., text)`` with each of ``queries(query_id, tokens)`` whose first token they hold."""
+    words = texts.select("*", F.explode(F.array_distinct(T.token_words(F.col("text")))).alias("first"))
+    return words.join(queries.withColumn("first", F.col("tokens")[0]), "first").drop("first")
+
+
 def term_tier(hits: DataFrame, owner: DataFrame, group_key, views: tuple[str, ...]) -> DataFrame:
-    """Chunks of a group's hits: ``hits(document_id, group_key, node_id, context_node_id, present_in, location, start, end)``; a comment's hit stands at its anchor's node."""
+    """Chunks of a group's hits: ``hits(document_id, group_key, node_id, context_node_id, present_in, location, start, end)``; a comment's hit stands at its anchor's node.
+
+    ``group_key`` is one group, or a table ``(query_id, group_key)`` of many, answered together with their ``query_id``.
+    """
     node = F.when(F.col("location") == "comment", F.col("context_node_id")).otherwise(F.col("node_id"))
     seen = (F.size("present_in") == 0) | F.arrays_overlap("present_in", F.array(*map(F.lit, views)))
-    h = hits.where((F.col("group_key") == group_key) & seen).withColumn("node_id", node).select("document_id", "node_id", "start", "end")
-    return h.join(owner, ["document_id", "node_id"]).select("document_id", "chunk_id", F.lit("term").alias("source"), "node_id", "start", "end")
+    if isinstance(group_key, DataFrame):
+        q, h = ["query_id"], hits.join(group_key.select("query_id", "group_key").distinct(), "group_key")
+    else:
+        q, h = [], hits.where(F.col("group_key") == group_key)
+    h = h.where(seen).withColumn("node_id", node).select(*q, "document_id", "node_id", "start", "end")
+    return h.join(owner, ["document_id", "node_id"]).select(*q, "document_id", "chunk_id", F.lit("term").alias("source"), "node_id", "start", "end")
+
 
+def text_tier(leaves: DataFrame, owner: DataFrame, query: str | DataFrame) -> DataFrame:
+    """Chunks whose leaves hold the query's tokens in a row: ``leaves(document_id, node_id, view, text)``; every occurrence counts, overlapping ones too.
 
-def text_tier(leaves: DataFrame, owner: DataFrame, query: str) -> DataFrame:
-    """Chunks whose leaves hold the query's tokens in a row: ``leaves(document_id, node_id, view, text)``; every occurrence counts, overlapping ones too."""
-    spark = leaves.sparkSession
-    words = spark.createDataFrame([(query,)], "q string").select(T.token_words(F.col("q")).alias("w")).first()["w"]
-    if not words:
-        return spark.createDataFrame([], "document_id string, chunk_id string, source string, node_id string, start int, end int")
-    wanted, n = F.array(*map(F.lit, words)), len(words)
+    ``query`` is one text, or a table of :func:`text_queries`, answered together with their ``query_id``.
+    """
+    queries, q = _asked(leaves.sparkSession, query)
     # most leaves fall to the plain test for the first word
-    likely = leaves.withColumn("spans", T.token_spans(F.col("text"))).where(F.exists("spans", lambda x: x["t"] == words[0]))
+    likely = _meet(leaves.select("document_id", "node_id", "text"), queries).withColumn("spans", T.token_spans(F.col("text")))
+    n = F.size("tokens")
     toks = F.transform("spans", lambda x: x["t"])
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("spans") - n + 1, F.lit(1))), lambda i: F.slice(toks, i, n) == wanted)
-    found = likely.select("document_id", "node_id", "spans", F.explode(at).alias("i"))
-    placed = found.select("document_id", "node_id", F.expr("spans[i - 1].s").alias("start"), F.expr(f"spans[i + {n - 2}].e").alias("end")).distinct()
-    return placed.join(owner, ["document_id", "node_id"]).select("document_id", "chunk_id", F.lit("text").alias("source"), "node_id", "start", "end")
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("spans") - n + 1, F.lit(1))), lambda i: F.slice(toks, i, n) == F.col("tokens"))
+    found = likely.select(*q, "document_id", "node_id", "spans", n.alias("n"), F.explode(at).alias("i"))
+    placed = found.select(*q, "document_id", "node_id", F.expr("spans[i - 1].s").alias("start"), F.expr("spans[i + n - 2].e").alias("end")).distinct()
+    return placed.join(owner, ["document_id", "node_id"]).select(*q, "document_id", "chunk_id", F.lit("text").alias("source"), "node_id", "start", "end")
 
 
-def summary_tier(summaries: DataFrame, query: str) -> DataFrame:
-    """Chunks whose summary, or one of its topics, holds the query: ``summaries(document_id, chunk_id, text, topics)``."""
-    wanted = T.token_words(F.lit(query))
-    fields = F.concat(F.array("text"), F.coalesce("topics", F.array().cast("array<string>")))
-    hit = F.exists(fields, lambda f: T.contains_sequence(T.token_words(f), wanted))
+def summary_tier(summaries: DataFrame, query: str | DataFrame) -> DataFrame:
+    """Chunks whose summary, or one of its topics, holds the query: ``summaries(document_id, chunk_id, text, topics)``; ``query`` as in :func:`text_tier`."""
+    queries, q = _asked(summaries.sparkSession, query)
+    fields = summaries.select("document_id", "chunk_id", F.explode(F.concat(F.array("text"), F.coalesce("topics", F.array().cast("array<string>")))).alias("text"))
+    hit = _meet(fields, queries).where(T.contains_sequence(T.token_words(F.col("text")), F.col("tokens"))).select(*q, "document_id", "chunk_id").distinct()
     none = F.lit(None)
-    return summaries.where(hit).select("document_id", "chunk_id", F.lit("summary").alias("source"), none.cast("string").alias("node_id"), none.cast("int").alias("start"), none.cast("int").alias("end"))
+    return hit.select(*q, "document_id", "chunk_id", F.lit("summary").alias("source"), none.cast("string").alias("node_id"), none.cast("int").alias("start"), none.cast("int").alias("end"))
 
 
 def search(tiers: list[DataFrame], chunks: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
-    """Ranked chunks: best source, then document, place and id; a row a chunk with all its sources and locations."""
+    """Ranked chunks: best source, then document, place and id; a row a chunk with all its sources and locations; with tiers of many queries, that for each ``query_id``."""
     unknown = set(sources) - set(SOURCES)
     if unknown:
         raise ValueError(f"unknown sources: {sorted(unknown)}")
@@ -68,9 +93,10 @@ def search(tiers: list[DataFrame], chunks: DataFrame, sources: tuple[str, ...] =
         rows = rows.unionByName(x)
     tier = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")).cast("int")
     one = rows.where(F.col("source").isin(*sources)).withColumn("tier", tier)
-    merged = one.groupBy("document_id", "chunk_id").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.when(F.col("node_id").isNotNull(), F.struct("node_id", "start", "end")))).alias("locations"))
+    q = [c for c in rows.columns if c == "query_id"]
+    merged = one.groupBy(*q, "document_id", "chunk_id").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.when(F.col("node_id").isNotNull(), F.struct("node_id", "start", "end")))).alias("locations"))
     place = chunks.groupBy("document_id", "chunk_id").agg(F.min("chunk_ord").alias("chunk_ord"))
-    return merged.join(place, ["document_id", "chunk_id"], "left").orderBy("tier", "document_id", "chunk_ord", "chunk_id")
+    return merged.join(place, ["document_id", "chunk_id"], "left").orderBy(*q, "tier", "document_id", "chunk_ord", "chunk_id")
 
 
 def find_terms(hits: DataFrame, group_key, document_id: str | None = None, section: list[str] | None = None) -> DataFrame:

@@ -394,18 +394,35 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.text_tier(c, owner, "depends on THE").select(F.col("chunk_id").cast("long").alias("chunk_key")).distinct()
 
 
+def _group_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every group whose key is divisible by 20."""
+    return A.groups(spark, d).where("group_key % 20 = 0")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT ON (chunk_key) chunk_key, document_id, view_id, text FROM chunks WHERE text IS NOT NULL), w AS (SELECT chunk_key, ' ' || array_to_string(""" + _joined("text") + """, ' ') || ' ' AS t FROM c),
+q AS (SELECT DISTINCT group_key AS query_id, array_to_string(""" + _joined("canonical") + """, ' ') AS p FROM term_groups WHERE group_key % 20 = 0 AND canonical IS NOT NULL)
+SELECT DISTINCT query_id, chunk_key FROM q JOIN w ON p <> '' AND contains(t, ' ' || p || ' ')""")
+def search_text_groups(spark: SparkSession, d: str) -> DataFrame:
+    c = A.chunks(spark, d).where("text is not null").select("document_id", F.col("chunk_key").cast("string").alias("node_id"), "text")
+    owner = c.select("document_id", "node_id", F.col("node_id").alias("chunk_id"))
+    asked = retrieval.text_queries(_group_queries(spark, d), "group_key", "canonical")
+    return retrieval.text_tier(c, owner, asked).select("query_id", F.col("chunk_id").cast("long").alias("chunk_key")).distinct()
+
+
 @query()
 def search_tiered(spark: SparkSession, d: str) -> DataFrame:
     s = A.streams(spark, d)
-    forms = _plain_forms(spark, d)
-    group = forms.agg(F.min("group_key")).first()[0]
-    name = A.groups(spark, d).where(F.col("group_key") == group).first()["canonical"]
+    groups = _group_queries(spark, d)
+    forms = terms.compile_forms(groups.withColumn("stemming", F.lit(None).cast("string")))
     hits = terms.match_texts(s.drop("stream_key"), forms).select("document_id", "group_key", F.col("part_id").alias("node_id"), F.lit(None).cast("string").alias("context_node_id"), F.array(F.lit("accepted")).alias("present_in"), F.lit("body").alias("location"), "start", "end")
     owner = s.select("document_id", F.col("part_id").alias("node_id"), F.col("stream_key").cast("string").alias("chunk_id"))
     leaves = s.select("document_id", F.col("part_id").alias("node_id"), F.lit("accepted").alias("view"), "text")
     places = s.select("document_id", F.col("stream_key").cast("string").alias("chunk_id"), F.lit(0).alias("chunk_ord"))
-    ranked = retrieval.search([retrieval.term_tier(hits, owner, group, ("accepted",)), retrieval.text_tier(leaves, owner, name)], places)
-    return ranked.select("document_id", "chunk_id", "tier", F.array_join("sources", ",").alias("sources"), F.size("locations").alias("n_locations"))
+    asked = groups.select(F.col("group_key").alias("query_id"), "group_key")
+    tiers = [retrieval.term_tier(hits, owner, asked, ("accepted",)), retrieval.text_tier(leaves, owner, retrieval.text_queries(groups, "group_key", "canonical"))]
+    ranked = retrieval.search(tiers, places)
+    return ranked.select("query_id", "document_id", "chunk_id", "tier", F.array_join("sources", ",").alias("sources"), F.size("locations").alias("n_locations"))
 
 
 @query("""

@@ -263,3 +263,21 @@ def test_scratch(spark):
     session.drop_scratch(spark)
     session.release(spark)
     assert not session.path_exists(spark, kept)
+
+
+def test_search_many_queries(spark, data):
+    leaves = spark.createDataFrame([("d", "n1", "accepted", "a b a b a"), ("d", "n2", "accepted", "a-b"), ("e", "n3", "accepted", "b a")], "document_id string, node_id string, view string, text string")
+    owner = spark.createDataFrame([("d", "n1", "c1"), ("d", "n2", "c2"), ("e", "n3", "c3")], "document_id string, node_id string, chunk_id string")
+    sums = spark.createDataFrame([("e", "c3", "nothing", ["about a b"]), ("d", "c1", "b", None)], "document_id string, chunk_id string, text string, topics array<string>")
+    hits = spark.createDataFrame([("d", 1, "n2", None, [], "body", 0, 3), ("e", 2, "cm", "n3", ["accepted"], "comment", 0, 1)], "document_id string, group_key int, node_id string, context_node_id string, present_in array<string>, location string, start int, end int")
+    places = spark.createDataFrame([("d", "c1", 0), ("d", "c2", 1), ("e", "c3", 0)], "document_id string, chunk_id string, chunk_ord int")
+    asked = retrieval.text_queries(spark.createDataFrame([(7, "A b"), (8, "b"), (9, "!"), (10, None)], "id int, q string"), "id", "q")
+    groups = spark.createDataFrame([(7, 1), (8, 2)], "query_id int, group_key int")
+    tiers = [retrieval.term_tier(hits, owner, groups, ("accepted",)), retrieval.text_tier(leaves, owner, asked), retrieval.summary_tier(sums, asked)]
+    got = [(r.query_id, r.chunk_id, r.tier, r.sources) for r in retrieval.search(tiers, places).collect()]
+    assert got == [(7, "c2", 1, ["term"]), (7, "c1", 2, ["text"]), (7, "c3", 3, ["summary"]), (8, "c3", 1, ["summary", "term", "text"]), (8, "c1", 2, ["summary", "text"])]
+    import __spark_entry__
+
+    wanted = {r[0] for r in spark.read.parquet(f"{data}/term_groups.parquet").where("group_key % 20 = 0").select("group_key").collect()}
+    found = {r.query_id for r in __spark_entry__.queries()["search_tiered"](spark, data).select("query_id").distinct().collect()}
+    assert len(wanted) > 1 and found <= wanted
