@@ -435,6 +435,18 @@ def tile_defects(spark: SparkSession, d: str) -> DataFrame:
     return evals.tile_defects(s, none).select("document_id", "part_id", F.col("at").alias("at_off"), "expected")
 
 
+@query("""
+WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes), x AS (SELECT DISTINCT document_id, s.part_id AS part_id, s.start_off AS a, s.end_off AS b FROM (SELECT document_id, unnest(spans) AS s FROM n)),
+y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY document_id, part_id ORDER BY a, b), 0) AS want FROM x),
+st AS (SELECT DISTINCT ON (stream_key) document_id, part_id, length(text) AS n FROM streams WHERE text IS NOT NULL), e AS (SELECT document_id, part_id, max(b) AS b FROM x GROUP BY ALL)
+SELECT document_id, part_id, CAST(a AS INTEGER) AS at_off, CAST(want AS INTEGER) AS expected FROM y WHERE a <> want
+UNION ALL SELECT st.document_id, st.part_id, CAST(coalesce(b, 0) AS INTEGER), CAST(n AS INTEGER) FROM st LEFT JOIN e ON e.document_id = st.document_id AND e.part_id = st.part_id WHERE coalesce(b, 0) <> n""")
+def tile_defects_whole(spark: SparkSession, d: str) -> DataFrame:
+    """With the parts whose spans stop before or after the end of the text, and streams without any span."""
+    s = A.node_spans(spark, d).select("document_id", "part_id", "start_off", "end_off").distinct()
+    return evals.tile_defects(s, A.streams(spark, d)).select("document_id", "part_id", F.col("at").alias("at_off"), "expected")
+
+
 @query("""
 WITH n AS (SELECT DISTINCT ON (node_key) kind, sha256(document_id || '|' || node_id || '|' || coalesce(style, '')) AS h FROM nodes)
 SELECT kind, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint, count(*) AS n FROM n GROUP BY ALL""")

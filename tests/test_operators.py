@@ -281,3 +281,18 @@ def test_search_many_queries(spark, data):
     wanted = {r[0] for r in spark.read.parquet(f"{data}/term_groups.parquet").where("group_key % 20 = 0").select("group_key").collect()}
     found = {r.query_id for r in __spark_entry__.queries()["search_tiered"](spark, data).select("query_id").distinct().collect()}
     assert len(wanted) > 1 and found <= wanted
+
+
+def test_tile_defects_at_ends(spark, tmp_path):
+    import __spark_entry__
+
+    span = "array<struct<part_id:string,start_off:int,end_off:int,fragment_id:string>>"
+    whole = [("p", 0, 3, None), ("p", 3, 6, None)]
+    nodes = [("1", "d", whole), ("2", "short", whole[:1]), ("3", "long", whole)]
+    kind = f"node_key string, document_id string, spans {span}"
+    n = spark.createDataFrame(nodes, kind).selectExpr("*", "0 as node_ord", "'para' as kind", "array('x') as section_path", "current_timestamp() as received_at")
+    n.write.parquet(str(tmp_path / "nodes.parquet"))
+    s = spark.createDataFrame([("1", "d", "p", "abcdef"), ("2", "short", "p", "abcdef"), ("3", "long", "p", "abc"), ("4", "none", "p", "ab"), ("5", "empty", "p", "")], "stream_key string, document_id string, part_id string, text string")
+    s.write.parquet(str(tmp_path / "streams.parquet"))
+    got = __spark_entry__.queries()["tile_defects_whole"](spark, str(tmp_path)).collect()
+    assert {(r.document_id, r.at_off, r.expected) for r in got} == {("short", 3, 6), ("long", 6, 3), ("none", 0, 2)}
