@@ -34,6 +34,16 @@ def tile_defects(spans: DataFrame, streams: DataFrame) -> DataFrame:
     return inner.unionByName(last)
 
 
+def uncovered(spans: DataFrame, streams: DataFrame) -> DataFrame:
+    """Stretches of a part's text in no node's span that hold more than line ends: (document_id, part_id, start_off, end_off)."""
+    part = ["document_id", "part_id"]
+    ends = streams.select(*part, F.length("text").alias("start_off"), F.length("text").alias("end_off"))
+    before = Window.partitionBy(*part).orderBy("start_off", "end_off").rowsBetween(Window.unboundedPreceding, -1)
+    cut = spans.select(*part, "start_off", "end_off").unionByName(ends).withColumn("from", F.coalesce(F.max("end_off").over(before), F.lit(0))).where("from < start_off")
+    gaps = cut.join(streams.select(*part, "text"), part).withColumn("gap", F.expr("substring(text, from + 1, start_off - from)"))
+    return gaps.where(F.translate("gap", "\n", "") != "").select(*part, F.col("from").alias("start_off"), F.col("start_off").alias("end_off"))
+
+
 def table_shape(cells: DataFrame) -> DataFrame:
     """Rows and columns of each table ``cells(document_id, table_id, row_ix, col_ix)``; a shorter row tells of a merge at its end."""
     rows = cells.groupBy("document_id", "table_id", "row_ix").agg((F.max("col_ix") + 1).alias("width"))

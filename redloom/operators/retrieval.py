@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redloom.functions import text as T
-from redloom.operators import structure
+from redloom.operators import structure, terms, views
 
 #: Sources in the order of their say.
 SOURCES = ("term", "text", "summary")
@@ -43,35 +43,63 @@ def _meet(texts: DataFrame, queries: DataFrame) -> DataFrame:
     return words.join(queries.withColumn("first", F.col("tokens")[0]), "first").drop("first")
 
 
-def term_tier(hits: DataFrame, owner: DataFrame, group_key, views: tuple[str, ...]) -> DataFrame:
+def term_tier(hits: DataFrame, owner: DataFrame, group_key, within: tuple[str, ...]) -> DataFrame:
     """Chunks of a group's hits: ``hits(document_id, group_key, node_id, context_node_id, present_in, location, start, end)``; a comment's hit stands at its anchor's node.
 
     ``group_key`` is one group, or a table ``(query_id, group_key)`` of many, answered together with their ``query_id``.
+    Hits that also have ``hit_ord``, ``view_spans``, ``move_group_id`` and ``norm_text`` are folded: of hits sharing a view
+    span the first stays, and the two ends of a move are one result at the first end's chunk with both locations.
     """
     node = F.when(F.col("location") == "comment", F.col("context_node_id")).otherwise(F.col("node_id"))
-    seen = (F.size("present_in") == 0) | F.arrays_overlap("present_in", F.array(*map(F.lit, views)))
+    seen = (F.size("present_in") == 0) | F.arrays_overlap("present_in", F.array(*map(F.lit, within)))
     if isinstance(group_key, DataFrame):
-        q, h = ["query_id"], hits.join(group_key.select("query_id", "group_key").distinct(), "group_key")
+        asked = group_key.select("query_id", "group_key").distinct()
+        h = hits.join(asked.select("group_key").distinct(), "group_key", "left_semi")
     else:
-        q, h = [], hits.where(F.col("group_key") == group_key)
-    h = h.where(seen).withColumn("node_id", node).select(*q, "document_id", "node_id", "start", "end")
-    return h.join(owner, ["document_id", "node_id"]).select(*q, "document_id", "chunk_id", F.lit("term").alias("source"), "node_id", "start", "end")
+        asked, h = None, hits.where(F.col("group_key") == group_key)
+    h = h.where(seen)
+    key = ["document_id", "group_key"]
+    if {"hit_ord", "view_spans", "move_group_id", "norm_text"} <= set(hits.columns):
+        # a view span is one place only together with its node
+        own = F.transform("view_spans", lambda v: F.to_json(F.struct(F.col("node_id"), v)))
+        whole = F.array(F.to_json(F.struct("node_id", "start", "end")))
+        strict = terms.dedupe_hits(h.withColumn("view_spans", F.when(F.size("view_spans") > 0, own).otherwise(whole)))
+        strict = strict.withColumn("move_group_id", F.when(F.col("norm_text").isNotNull(), F.col("move_group_id"))).withColumn("present_in", F.array_sort("present_in"))
+        shape = lambda x: x.withColumn("node_id", node).select(*key, "move_group_id", "node_id", "start", "end")
+        ends = shape(strict).join(owner, ["document_id", "node_id"], "left")
+        kept = shape(terms.fold_moves(strict)).join(owner, ["document_id", "node_id"]).select(*key, "chunk_id", "move_group_id").distinct()
+        here = ends.join(kept.select(*key, "chunk_id").distinct(), [*key, "chunk_id"], "left_semi").select(*key, "chunk_id", "node_id", "start", "end")
+        both = ends.where("move_group_id is not null").drop("chunk_id").join(kept, [*key, "move_group_id"]).select(*key, "chunk_id", "node_id", "start", "end")
+        placed = here.unionByName(both).distinct()
+    else:
+        placed = h.withColumn("node_id", node).select(*key, "node_id", "start", "end").join(owner, ["document_id", "node_id"])
+    q = [] if asked is None else ["query_id"]
+    placed = placed if asked is None else placed.join(asked, "group_key")
+    return placed.select(*q, "document_id", "chunk_id", F.lit("term").alias("source"), "node_id", "start", "end")
 
 
-def text_tier(leaves: DataFrame, owner: DataFrame, query: str | DataFrame) -> DataFrame:
+def text_tier(leaves: DataFrame, owner: DataFrame, query: str | DataFrame, projection: DataFrame | None = None) -> DataFrame:
     """Chunks whose leaves hold the query's tokens in a row: ``leaves(document_id, node_id, view, text)``; every occurrence counts, overlapping ones too.
 
-    ``query`` is one text, or a table of :func:`text_queries`, answered together with their ``query_id``.
+    ``query`` is one text, or a table of :func:`text_queries`, answered together with their ``query_id``.  Locations are
+    offsets of the leaf, or, with the ``projection`` of the views and leaves that also have ``part_id`` and ``view_base``
+    (where the leaf begins in its view), of the stream, as the term tier's are: a row a contiguous piece.
     """
     queries, q = _asked(leaves.sparkSession, query)
+    place = [] if projection is None else ["part_id", "view", "view_base"]
     # most leaves fall to the plain test for the first word
-    likely = _meet(leaves.select("document_id", "node_id", "text"), queries).withColumn("spans", T.token_spans(F.col("text")))
+    likely = _meet(leaves.select("document_id", "node_id", *place, "text"), queries).withColumn("spans", T.token_spans(F.col("text")))
     n = F.size("tokens")
     toks = F.transform("spans", lambda x: x["t"])
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("spans") - n + 1, F.lit(1))), lambda i: F.slice(toks, i, n) == F.col("tokens"))
-    found = likely.select(*q, "document_id", "node_id", "spans", n.alias("n"), F.explode(at).alias("i"))
-    placed = found.select(*q, "document_id", "node_id", F.expr("spans[i - 1].s").alias("start"), F.expr("spans[i + n - 2].e").alias("end")).distinct()
-    return placed.join(owner, ["document_id", "node_id"]).select(*q, "document_id", "chunk_id", F.lit("text").alias("source"), "node_id", "start", "end")
+    found = likely.select(*q, "document_id", "node_id", *place, "spans", n.alias("n"), F.explode(at).alias("i"))
+    placed = found.select(*q, "document_id", "node_id", *place, F.expr("spans[i - 1].s").alias("start"), F.expr("spans[i + n - 2].e").alias("end"))
+    if projection is not None:
+        # what tells a match apart goes through as its id
+        ends = ["node_id", *q]
+        named = placed.select("document_id", "part_id", "view", F.struct(*ends, F.col("start").alias("s")).alias("match_id"), (F.col("view_base") + F.col("start")).alias("start"), (F.col("view_base") + F.col("end")).alias("end"))
+        placed = views.union_spans(named, projection).select("document_id", *[F.col(f"match_id.{c}").alias(c) for c in ends], F.col("union_start").alias("start"), F.col("union_end").alias("end"))
+    return placed.distinct().join(owner, ["document_id", "node_id"]).select(*q, "document_id", "chunk_id", F.lit("text").alias("source"), "node_id", "start", "end")
 
 
 def summary_tier(summaries: DataFrame, query: str | DataFrame) -> DataFrame:

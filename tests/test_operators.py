@@ -296,3 +296,21 @@ def test_tile_defects_at_ends(spark, tmp_path):
     s.write.parquet(str(tmp_path / "streams.parquet"))
     got = __spark_entry__.queries()["tile_defects_whole"](spark, str(tmp_path)).collect()
     assert {(r.document_id, r.at_off, r.expected) for r in got} == {("short", 3, 6), ("long", 6, 3), ("none", 0, 2)}
+
+
+def test_moved_terms_union_places_and_coverage(spark):
+    kind = "document_id string, group_key int, node_id string, context_node_id string, present_in array<string>, location string, start int, end int, hit_ord int, view_spans array<struct<view:string,s:int,e:int>>, move_group_id string, norm_text string"
+    rows = [("d", 1, "n1", None, ["original"], "body", 0, 3, 1, [("original", 0, 3)], "m", "x"), ("d", 1, "n2", None, ["accepted"], "body", 9, 12, 2, [("accepted", 9, 12)], "m", "x")]
+    rows += [("d", 1, "n2", None, ["accepted"], "body", 8, 12, 3, [("accepted", 9, 12)], None, None), ("d", 1, "n3", None, ["accepted"], "body", 9, 12, 4, [("accepted", 9, 12)], None, None)]
+    hits = spark.createDataFrame(rows, kind)
+    owner = spark.createDataFrame([("d", "n1", "c1"), ("d", "n2", "c2"), ("d", "n3", "c3")], "document_id string, node_id string, chunk_id string")
+    got = {(r.chunk_id, r.node_id, r.start, r.end) for r in retrieval.term_tier(hits, owner, 1, ("accepted", "original")).collect()}
+    assert got == {("c1", "n1", 0, 3), ("c1", "n2", 9, 12), ("c3", "n3", 9, 12)}
+    # "a DEL b" reads "a b" in the accepted view
+    spans = spark.createDataFrame([("d", "p", 0, "x\n", []), ("d", "p", 1, "a ", []), ("d", "p", 2, "DEL ", ["del:1"]), ("d", "p", 3, "b", [])], "document_id string, part_id string, piece_ord int, text string, stack array<string>")
+    p = views.project(views.build_spans(spans), "accepted")
+    leaves = spark.createDataFrame([("d", "n1", "p", "accepted", 2, "a b")], "document_id string, node_id string, part_id string, view string, view_base int, text string")
+    assert {(r.start, r.end) for r in retrieval.text_tier(leaves, owner, "a b", p).collect()} == {(2, 4), (8, 9)}
+    s = spark.createDataFrame([("d", "p", "ab\ncd\nef"), ("d", "q", "\n"), ("d", "r", "xy")], "document_id string, part_id string, text string")
+    n = spark.createDataFrame([("d", "p", 0, 2), ("d", "p", 0, 1), ("d", "p", 6, 7)], "document_id string, part_id string, start_off int, end_off int")
+    assert {(r.part_id, r.start_off, r.end_off) for r in evals.uncovered(n, s).collect()} == {("p", 2, 6), ("p", 7, 8), ("r", 0, 2)}
