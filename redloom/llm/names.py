@@ -5,8 +5,9 @@ one-letter slips); the rewritings are exploded and equi-joined.  A rewriting sco
 entities it may stand for); only rewritings that stand for one entity link.
 
 Two stages: spellings with a whole name form entities first (order, nickname, slip), then initials, user names and
-acronyms join the one entity whose rewriting they are.  A slip never joins two entities that are each written in
-several ways, nor two known first names (Ned and Ted).
+acronyms join the one entity whose rewriting they are.  A slip joins two entities that are each written in several
+ways only where one has at most 1 / ``SLIP_ROWS`` of the other's rows and no other such entity within one slip; it never
+joins two known first names (Ned and Ted).
 
 Defined results
 * null, blank and placeholder names ("Author", "Unknown") link to nothing and are left out.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from redloom.session import staged
 
+#: A name written in several ways counts as a slip of one that has at least so many times its rows.
+SLIP_ROWS = 4
 PLACEHOLDERS = {"", "author", "unknown", "user", "admin", "administrator", "guest", "anonymous", "none", "n/a", "na", "reviewer", "owner", "editor", "tbd", "-"}
 #: First names and the short forms people type for them.
 NICKNAMES = {
@@ -182,8 +185,8 @@ def rewrite(name: str) -> dict | None:
 
 def _rewrite_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(n, r["ident"], r["kind"], r["forms"], r["slips"], r["marks"]) for n in pdf["name"] if (r := rewrite(n))]
-        yield pd.DataFrame(rows, columns=["name", "ident", "kind", "forms", "slips", "marks"])
+        rows = [(n, c, r["ident"], r["kind"], r["forms"], r["slips"], r["marks"]) for n, c in zip(pdf["name"], pdf["n_rows"]) if (r := rewrite(n))]
+        yield pd.DataFrame(rows, columns=["name", "n_rows", "ident", "kind", "forms", "slips", "marks"])
 
 
 def _slip_ok(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -215,10 +218,10 @@ def link_names(names: DataFrame, column: str) -> DataFrame:
 
     ``rule`` and ``score`` tell how a spelling without a whole name was linked: by which rewriting, and its rarity.
     """
-    distinct = names.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct()
+    distinct = names.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))
     slip = F.pandas_udf(_slip_ok, "boolean")
-    parsed = staged(distinct.mapInPandas(_rewrite_batches, "name string, ident string, kind string, forms array<string>, slips array<string>, marks array<string>"), "name-forms")
-    idents = staged(parsed.groupBy("ident", "kind").agg(F.count(F.lit(1)).alias("spellings"), F.flatten(F.collect_set("forms")).alias("forms"), F.array_distinct(F.flatten(F.collect_set("slips"))).alias("slips"), F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks")), "name-idents")
+    parsed = staged(distinct.mapInPandas(_rewrite_batches, "name string, n_rows long, ident string, kind string, forms array<string>, slips array<string>, marks array<string>"), "name-forms")
+    idents = staged(parsed.groupBy("ident", "kind").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n_rows").alias("n_rows"), F.flatten(F.collect_set("forms")).alias("forms"), F.array_distinct(F.flatten(F.collect_set("slips"))).alias("slips"), F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks")), "name-idents")
     whole = idents.where("kind in ('p', 'o')")
     # nickname and order: the rewriting must be written by someone; where none is, nicknames of one reading still meet in it
     forms = whole.select("ident", F.posexplode(F.array_distinct("forms")).alias("place", "form")).select("ident", "place", F.substring("form", 1, 1).alias("rule"), F.expr("substring(form, 3)").alias("form"))
@@ -229,13 +232,17 @@ def link_names(names: DataFrame, column: str) -> DataFrame:
     sure = staged(nick.union(order), "name-sure")
     nodes = idents.select(F.col("ident").alias("node")).union(sure.select("b")).distinct()
     labels = components(sure, nodes)
-    # slips between groups of which one is written in a single way
-    group = staged(idents.where("kind in ('p', 'o')").join(labels, idents["ident"] == labels["node"]).select("ident", "label", "spellings", "slips"), "name-groups")
-    ways = group.groupBy("label").agg(F.sum("spellings").alias("ways"))
-    deleted = group.join(ways, "label").select("ident", "label", "ways", F.explode("slips").alias("form"))
+    # slips: one of the two groups is written in a single way, or is rare beside the only group within one slip that it can be
+    group = staged(idents.where("kind in ('p', 'o')").join(labels, idents["ident"] == labels["node"]).select("ident", "label", "spellings", "n_rows", "slips"), "name-groups")
+    ways = group.groupBy("label").agg(F.sum("spellings").alias("ways"), F.sum("n_rows").alias("n_rows"))
+    deleted = group.drop("n_rows").join(ways, "label").select("ident", "label", "ways", "n_rows", F.explode("slips").alias("form"))
     deleted = staged(deleted, "name-slips")
-    pairs = deleted.select("form", F.col("ident").alias("a"), F.col("label").alias("la"), F.col("ways").alias("wa")).join(deleted.select("form", F.col("ident").alias("b"), F.col("label").alias("lb"), F.col("ways").alias("wb")), "form").where("a < b and la <> lb and least(wa, wb) = 1").select("a", "b").distinct()
-    slips = staged(pairs.where(slip("a", "b")), "name-slip-pairs")
+    end = lambda x: deleted.select("form", F.col("ident").alias(x), F.col("label").alias("l" + x), F.col("ways").alias("w" + x), F.col("n_rows").alias("n" + x))
+    rare = F.least("na", "nb") * SLIP_ROWS <= F.greatest("na", "nb")
+    met = end("a").join(end("b"), "form").where("a < b and la <> lb").where((F.least("wa", "wb") == 1) | rare).drop("form").distinct()
+    near = staged(met.where(slip("a", "b")).withColumn("single", F.least("wa", "wb") == 1).withColumn("rarer", F.when(rare, F.when(F.col("na") < F.col("nb"), F.col("la")).otherwise(F.col("lb")))).withColumn("other", F.when(F.col("rarer") == F.col("la"), F.col("lb")).otherwise(F.col("la"))), "name-slip-pairs")
+    few = near.where("rarer is not null").groupBy("rarer").agg(F.count_distinct("other").alias("may_be"))
+    slips = near.join(few, "rarer", "left").where("single or may_be = 1").select("a", "b").distinct()
     entities = components(sure.union(slips), nodes)
     # initials, user names and acronyms: the one entity that their rewriting stands for
     base = whole.join(entities, whole["ident"] == entities["node"]).select(F.col("label").alias("entity"), F.explode("marks").alias("mark")).distinct()

@@ -66,3 +66,12 @@ def test_one_slip_against_brute_force():
         assert N.one_slip(a, b) == (b in near(a)), (a, b)
         if N.one_slip(a, b):
             assert set(N.deletions(a)) & set(N.deletions(b))
+
+
+def test_rare_misspelling_in_two_ways_links(spark):
+    right, wrong = ["José Tibrikrous", "Tibrikrous, José", "jose.tibrikrous"], ["José Tibikrous", "Tibikrous, José M."]
+    assert groups(spark, right * 6 + wrong * 2) == [sorted(right + wrong)]
+    # as many rows on both sides, or two names that the rare one may be: apart
+    assert groups(spark, right + wrong) == sorted([sorted(right), sorted(wrong)])
+    other = ["José Tibiskrous", "Tibiskrous, José"]
+    assert groups(spark, right * 6 + wrong * 2 + other * 10) == sorted([sorted(right), sorted(wrong), sorted(other)])
