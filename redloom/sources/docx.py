@@ -648,8 +648,15 @@ SCHEMAS = {
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Tagged rows (document_id, path, row_type, row) of a ``binaryFile`` table; packages over the size limit are not opened."""
-    return files.where(F.col("length") <= MAX_TOTAL).select("path", "content").mapInPandas(_parse_batches, "document_id string, path string, row_type string, row string")
+    """Tagged rows (document_id, path, row_type, row) of a ``binaryFile`` table.
+
+    Packages over the size limit are not opened: their error row comes from path and length, the hash of both being the id.
+    """
+    schema = "document_id string, path string, row_type string, row string"
+    rows = files.where(F.col("length") <= MAX_TOTAL).select("path", "content").mapInPandas(_parse_batches, schema)
+    error = F.concat(F.lit("the file has "), F.col("length").cast("string"), F.lit(f" bytes, more than {MAX_TOTAL}"))
+    over = files.where(F.col("length") > MAX_TOTAL).select(F.sha2(F.concat_ws("|", "path", F.col("length").cast("string")), 256).alias("document_id"), "path", F.lit("error").alias("row_type"), F.to_json(F.struct(error.alias("error"))).alias("row"))
+    return rows.unionByName(over)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:

@@ -117,3 +117,13 @@ def test_read_packages_tables(spark, tmp_path):
     from redloom.operators.evals import tile_defects
 
     assert tile_defects(t["span"], t["stream"]).count() == 0
+
+
+def test_too_large_a_file_gives_an_error_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(docx, "MAX_TOTAL", 10)
+    (tmp_path / "large.docx").write_bytes(b"x" * 11)
+    (tmp_path / "small.docx").write_bytes(b"x" * 10)
+    rows = docx.read_packages(spark, str(tmp_path)).collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.row_type) for r in rows) == [("large.docx", "error"), ("small.docx", "error")]
+    t = docx.tables_of(docx.read_packages(spark, str(tmp_path)))
+    assert "the file has 11 bytes, more than 10" in {r.error for r in t["error"].collect()}
