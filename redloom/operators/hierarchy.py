@@ -29,6 +29,8 @@ from redloom.session import staged
 
 LOCAL_LIMIT = 200_000
 BUCKETS = 64
+#: Places of a block of ranges, as many times those of the next smaller one.
+BASE = 16
 #: Records handled together on arrays in a task.
 BATCH = 200_000
 COLUMNS = ["scope", "node_key", "parent_key", "root_key", "depth", "pre", "pre_end"]
@@ -224,16 +226,43 @@ def named_parent_links(rows: DataFrame, scope: str, key: str, name: str, parent:
     return linked.unionByName(own.where("__up is null").select("scope", "node_key", F.lit(None).cast("long").alias("parent_key")))
 
 
+def _inside(points: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
+    """``points(scope, root_key, pre, ...)`` in ``ranges(scope, root_key, lo, hi, ...)``, each pair once; ``most`` is the highest end.
+
+    A range is the fewest aligned blocks of 1, 16, 256, ... places, a point lies in one block of each size, and equal blocks
+    meet: rows are formed for pairs that hold only, whatever the size of the tree.
+    """
+    top = 0
+    while BASE ** (top + 1) <= most:
+        top += 1
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(BASE**k).cast("long").alias("b")) for k in range(top + 1)]))
+    at = points.withColumn("__l", levels).withColumn("__k", F.col("__l.k")).withColumn("__block", F.expr("pre div __l.b")).drop("__l")
+    r = ranges.withColumn("__l", levels).withColumn("__k", F.col("__l.k"))
+    r = r.withColumn("__c", F.expr("(lo + __l.b - 1) div __l.b")).withColumn("__d", F.expr("hi div __l.b")).where("__c < __d")
+    # without the blocks that a larger one holds
+    r = r.withColumn("__e", F.expr(f"(__c + {BASE - 1}) div {BASE} * {BASE}")).withColumn("__f", F.expr(f"__d div {BASE} * {BASE}"))
+    run = lambda x, y: F.when(F.col(x) < F.col(y), F.sequence(F.col(x), F.col(y) - 1)).otherwise(F.array().cast("array<bigint>"))
+    blocks = F.when((F.col("__e") < F.col("__f")) & (F.col("__k") < top), F.concat(run("__c", "__e"), run("__f", "__d"))).otherwise(run("__c", "__d"))
+    r = r.withColumn("__block", F.explode(blocks)).drop("__l", "__c", "__d", "__e", "__f", "lo", "hi")
+    return at.join(r, ["scope", "root_key", "__k", "__block"]).drop("__k", "__block")
+
+
+def _most(forest: DataFrame) -> int:
+    return forest.agg(F.max("pre_end")).first()[0] or 1
+
+
 def paths(forest: DataFrame) -> DataFrame:
-    """Every record of a sound tree with the keys from its root down to it, found by nested-set ranges."""
-    a = forest.where("depth >= 0").select("scope", "root_key", F.col("node_key").alias("a_key"), F.col("pre").alias("a_pre"), F.col("pre_end").alias("a_end"), F.col("depth").alias("a_depth"))
+    """Every record of a sound tree with the keys from its root down to it, found by nested-set ranges; ``forest`` is read several times."""
+    a = forest.where("depth >= 0").select("scope", "root_key", F.col("node_key").alias("a_key"), F.col("pre").alias("lo"), F.col("pre_end").alias("hi"), F.col("depth").alias("a_depth"))
     d = forest.where("depth >= 0").select("scope", "root_key", "node_key", "pre", "depth")
-    pairs = d.join(a, ["scope", "root_key"]).where("a_pre <= pre and pre < a_end")
-    return pairs.groupBy("scope", "root_key", "node_key", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("a_depth", "a_key"))), lambda x: x["a_key"]).alias("path"))
+    return _inside(d, a, _most(forest)).groupBy("scope", "root_key", "node_key", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("a_depth", "a_key"))), lambda x: x["a_key"]).alias("path"))
 
 
-def descendants(forest: DataFrame, of: DataFrame) -> DataFrame:
-    """The descendants of the records ``of(scope, node_key)``, by nested-set ranges: (scope, node_key, descendant_key)."""
-    a = forest.where("depth >= 0").join(of.select("scope", "node_key").distinct(), ["scope", "node_key"], "left_semi").select("scope", "root_key", "node_key", F.col("pre").alias("a_pre"), "pre_end")
+def descendants(forest: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The descendants of the records ``of(scope, node_key)``, or of all, by nested-set ranges: (scope, node_key, descendant_key)."""
+    a = forest.where("depth >= 0 and pre_end > pre + 1")
+    if of is not None:
+        a = a.join(of.select("scope", "node_key").distinct(), ["scope", "node_key"], "left_semi")
+    a = a.select("scope", "root_key", "node_key", (F.col("pre") + 1).alias("lo"), F.col("pre_end").alias("hi"))
     d = forest.where("depth > 0").select("scope", "root_key", F.col("node_key").alias("descendant_key"), "pre")
-    return d.join(a, ["scope", "root_key"]).where("pre > a_pre and pre < pre_end").select("scope", "node_key", "descendant_key")
+    return _inside(d, a, _most(forest)).select("scope", "node_key", "descendant_key")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redloom.operators import hierarchy, nested, timestamps
-from redloom.session import table
+from redloom.session import staged, table
 
 
 def _stamps(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.where("depth <> 0").select(src.alias("src"), F.col("node_key").alias("item_key"), "root_key", F.col("depth").alias("tree_depth"))
 
 
+def _forest(spark: SparkSession, d: str) -> DataFrame:
+    return staged(hierarchy.build_hierarchy(_links(spark, d)), "forest")
+
+
+def _source() -> Column:
+    return F.when(F.col("scope").bitwiseAND(F.lit(1)) == 0, "comment").otherwise("node").alias("src")
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.paths(_forest(spark, d)).select(_source(), F.col("node_key").alias("item_key"), "root_key", F.col("depth").alias("tree_depth"), "path")
+
+
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(_forest(spark, d)).select(_source(), F.col("node_key").alias("item_key"), "descendant_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     nodes, streams = table(spark, d, "nodes"), table(spark, d, "streams")
@@ -71,7 +87,7 @@ def p5_elements_by_tag(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n_elements"), F.max("depth").alias("deepest"), F.sum((F.col("post") - F.col("pre") - 1).cast("long")).alias("interval_sum"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dictionary": p1_dictionary, "p2_found": p2_found, "p5_found": p5_found, "p5_children": p5_children, "p5_spans": p5_spans, "p5_elements_by_tag": p5_elements_by_tag}
+QUERIES = {"p1_found": p1_found, "p1_dictionary": p1_dictionary, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p5_children": p5_children, "p5_spans": p5_spans, "p5_elements_by_tag": p5_elements_by_tag}
 
 SQL = {
     "p2_found": """

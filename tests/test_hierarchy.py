@@ -69,3 +69,25 @@ def test_links(spark):
     assert {(r.scope, r.node_key, r.parent_key) for r in H.child_links(nodes, "doc", "k", "id", "kids").collect()} == {("d", 1, None), ("d", 2, 1), ("d", 3, None), ("e", 4, 4)}
     rows = spark.createDataFrame([("d", 1, "p", None), ("d", 2, "q", "p"), ("d", 3, "q", "nope"), ("e", 4, "x", "p")], "doc string, k long, id string, up string")
     assert {(r.node_key, r.parent_key) for r in H.named_parent_links(rows, "doc", "k", "id", "up").collect()} == {(1, None), (2, 1), (3, None), (4, None)}
+
+
+def test_ranges_against_brute_force(spark):
+    import __spark_entry__
+
+    rng = random.Random(2)
+    links = forest(7) + [("t", k, rng.randrange(max(0, k - 40), k) if k else None) for k in range(400)]
+    f = H.build_hierarchy(spark.createDataFrame(links, SCHEMA)).cache()
+    up, known = {(s, k): p for s, k, p in links}, brute(links)
+    want = {}
+    for (s, k), (_, depth) in known.items():
+        if depth >= 0:
+            path = [k]
+            while (s, up[s, path[0]]) in up:
+                path.insert(0, up[s, path[0]])
+            want[s, k] = path
+    assert {(r.scope, r.node_key): r.path for r in H.paths(f).collect()} == want
+    got = [(r.scope, r.node_key, r.descendant_key) for r in H.descendants(f).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, a, k) for (s, k), path in want.items() for a in path[:-1]}
+    # the join finds a pair by its block, it does not form the pairs of a tree
+    assert "__block" in H.descendants(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert {"p2_paths", "p2_descendants"} <= set(__spark_entry__.queries())
