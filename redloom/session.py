@@ -8,15 +8,16 @@ single-machine runs).
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -40,11 +41,13 @@ def build_session(app: str = "redloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach."""
+    """The folder every executor can reach; one of this machine is made only where all executors are on it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         where = spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="redloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         where = "file://" + local
@@ -53,7 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
+    """A fresh path in the shared folder; what is written there goes when the application ends, if nothing deleted it before."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -62,29 +67,29 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table this application staged; call it when no result of theirs will be read again."""
+    """Delete every table this application staged so far; for applications that go on."""
     p = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write ``df``; the shuffle files of its plan are deleted as soon as the table is whole."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans nobody refers to any more; it only learns of them by collections of garbage.
-
-    A plan that has just run is still referred to for a moment, hence the second round.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`staged` whose rows no plan will read again."""
     spark = df.sparkSession
