@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redloom.session import discard, release, staged
+from redloom.operators.skew import skew_join
+from redloom.session import discard, staged
 
-#: Up to so many shingles go to the executors at once, as counts (5 bytes each) or as sets; more are joined by a shuffle.
-BROADCAST_SHINGLES = 4_000_000
-#: Up to so many representatives are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: How often shingles are held is counted in so many buckets of their hashes (a power of two).  The counts give the order
+#: of the prefixes, and any order that all texts share gives the same pairs; what goes to the executors is one byte a
+#: bucket, 16 MB, whatever the size of the input.
+BUCKET_BITS = 24
 #: Entries a partition holds back to combine counts before they are shuffled.
 COMBINE = 3_000_000
+#: Rows that are paired with each other at a time: the rows of a more frequent key are split in blocks, and each pair of
+#: blocks is a unit of its own.
+BLOCK = 4096
+#: Rows, and found pairs, a partition holds back.
+HELD = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -77,15 +84,19 @@ def _seed(src: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(src, dtype=object), categorize=False)
 
 
-def _count_shingles(width: int, least_words: int):
-    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+def _buckets(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _count_buckets(width: int, least_words: int, bits: int):
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             src, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [v for v in shingle_batch(text, width, _seed(src), least_words) if v is not None]
+            sets = [_buckets(v, bits) for v in shingle_batch(text, width, _seed(src), least_words) if v is not None]
             held += sets
             size += sum(map(len, sets))
             if size > COMBINE:
@@ -101,6 +112,28 @@ def _count_shingles(width: int, least_words: int):
     return run
 
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Counts as a byte that grows with them, 8 steps to an octave; 0 for a count of one."""
+    return np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
+def _pack_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            at, n = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32), batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([levels_of(n).tobytes()])], ["at", "level"])
+
+
+def bucket_levels(texts: DataFrame, width: int, least_words: int, bits: int = BUCKET_BITS) -> np.ndarray:
+    """How often the shingles of each bucket are held, over all ``texts(src, text)``: a level a bucket, 0 where one text at most holds any."""
+    counts = texts.mapInArrow(_count_buckets(width, least_words, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
+    level = np.zeros(1 << bits, np.uint8)
+    packed = counts.mapInArrow(_pack_levels, "at binary, level binary").toArrow()
+    for at, held in zip(packed.column(0), packed.column(1)):
+        level[np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(held.as_buffer(), np.uint8)
+    return level
+
+
 _ROWS = pa.schema([("src", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("gid", pa.int64()), ("rid", pa.int64()), ("pos", pa.list_(pa.int32())), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int16())), ("bits", pa.list_(pa.int64()))])
 _ROWS_DDL = "src string, key long, n int, class long, gid long, rid long, pos array<int>, low array<int>, high array<short>, bits array<long>"
 
@@ -123,29 +156,16 @@ def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((upper & 0xFFFFFFFF) - (1 << 31)).astype(np.int32), (upper >> 32).astype(np.int16)
 
 
-def _high(values: np.ndarray) -> np.ndarray:
-    return (values.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-
+#: Added to the upper eight bits of a shingle whose bucket is held often enough that the shingle may need blocks.
+_OFTEN = 256
 
-def frequency_levels(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counts in 5 bytes each: the sorted high halves of the shingles and a level that grows with the count, 8 to an octave.
-
-    Shingles of one high half share the highest level.  Any order that all texts share will do, and a shingle that is not
-    in the table is in one text only.
-    """
-    high = _high(values)
-    level = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 2)))).astype(np.uint8)
-    order = np.argsort(high, kind="stable")
-    high, level = high[order], level[order]
-    first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else np.zeros(0, np.int64)
-    return high[first], np.maximum.reduceat(level, first) if len(high) else level
 
-
-def _prefixes(width: int, threshold: float, least_words: int, shared):
+def _prefixes(width: int, threshold: float, least_words: int, shared, bits: int, block: int):
     """Per text its class, group and prefix; shingles of a single text keep their place but are left out, and so are prefixes the partition has told before."""
+    often_from = int(levels_of(np.array([block]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, level = shared.value
+        level = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         told: set[int] = set()
         # small numbers, partition first: they pack better on disk than hashes
         rid = TaskContext.get().partitionId() << 36
@@ -155,9 +175,7 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
             for s, k, values in zip(src, key, shingle_batch(text, width, _seed(src), least_words)):
                 if values is None:
                     continue
-                high = _high(values)
-                at = np.minimum(np.searchsorted(known, high), max(len(known) - 1, 0))
-                often = np.where(known[at] == high, level[at], 0) if len(known) else np.zeros(len(values), np.uint8)
+                often = level[_buckets(values, bits)]
                 order = np.lexsort((values, often))[: prefix_length(len(values), threshold)]
                 prefix = values[order]
                 gid = _hash_bytes(prefix.tobytes(), len(values).to_bytes(8, "little"), s.encode())
@@ -165,7 +183,11 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
                 new = gid not in told
                 told.add(gid)
                 rid += 1
-                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, rid, *((some.astype(np.int32), *_split(prefix[some])) if new else (None, None, None)), _bits(values)))
+                place = None, None, None
+                if new:
+                    low, high = _split(prefix[some])
+                    place = some.astype(np.int32), low, high + np.where(often[order[some]] >= often_from, _OFTEN, 0).astype(np.int16)
+                rows.append((s, k, len(values), _hash_bytes(values.tobytes()), gid, rid, *place, _bits(values)))
             if len(told) > 1_000_000:
                 told.clear()
             if rows:
@@ -174,31 +196,87 @@ def _prefixes(width: int, threshold: float, least_words: int, shared):
     return run
 
 
-def _rows_by_join(t: DataFrame, counts: DataFrame, width: int, threshold: float, least_words: int) -> DataFrame:
-    """What ``_prefixes`` yields, for more counts than may be broadcast: shingles are joined to their counts and regrouped."""
-    sets = t.mapInArrow(_whole(width, least_words), "src string, key long, class long, shingles array<long>, bits array<long>")
-    one = sets.select("src", "key", "class", "bits", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(counts, "shingle", "left")
-    kept = F.array_sort(F.collect_set(F.struct(F.coalesce(F.col("n_texts"), F.lit(1)).alias("often"), "shingle")))  # a set: rows may be repeated
-    length = F.expr(f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1")
-    rows = one.groupBy("src", "key", "class", "n").agg(kept.alias("o"), F.first("bits").alias("bits")).withColumn("o", F.slice("o", F.lit(1), length))
-    rows = rows.withColumn("gid", F.xxhash64("src", "n", F.transform("o", lambda x: x["shingle"])))
-    placed = F.filter(F.transform("o", lambda x, i: F.struct(x["often"].alias("often"), x["shingle"].alias("shingle"), i.alias("i"))), lambda x: x["often"] > 1)
-    return rows.select("src", "key", "n", "class", "gid", F.monotonically_increasing_id().alias("rid"), F.transform(placed, lambda x: x["i"]).alias("pos"), F.transform(placed, lambda x: (F.shiftrightunsigned(x["shingle"], 24).bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("low"), F.transform(placed, lambda x: F.shiftrightunsigned(x["shingle"], 56).cast("short")).alias("high"), "bits")
+def in_units(rows: DataFrame, key: str, spread: str, counts: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``unit``: rows of one key and ``unit div 4`` are to be paired, those of sides (the last two bits) 0 and 1 across, those of side 2 with each other.
 
+    ``counts(key, n)`` has how many rows a key has; keys of more than ``block`` are split in blocks, and every two blocks, and
+    each block with itself, are a unit.  Without it no key has more.
+    """
+    if counts is None:
+        return rows.withColumn("unit", F.lit(2))
+    blocks = counts.where(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias("__nb"))
+    r = skew_join(rows, blocks, [key], "left", spread=F.col(spread)).withColumn("__nb", F.coalesce("__nb", F.lit(1)))
+    r = r.withColumn("__i", F.pmod(F.xxhash64(spread), F.col("__nb")).cast("int"))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("__nb") - 1), lambda j: F.when(j == F.col("__i"), (F.col("__i") * F.col("__nb") + j) * 4 + 2).when(j > F.col("__i"), (F.col("__i") * F.col("__nb") + j) * 4).otherwise((j * F.col("__nb") + F.col("__i")) * 4 + 1))
+    return r.withColumn("unit", F.explode(with_others)).drop("__nb", "__i")
+
+
+def _pair_arrays(threshold: float, key: np.ndarray, unit: np.ndarray, rid: np.ndarray, packed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one key and unit that size and place allow; the rows are sorted by key, unit and size."""
+    n, pos, side, unit = packed >> 32, packed & 0xFFFFFFFF, unit & 3, unit >> 2
+    left = np.arange(len(key) - 1)
+    ahead = n - pos
+    d = 0
+    while len(left):
+        d += 1
+        left = left[: np.searchsorted(left, len(key) - d)]
+        right = left + d
+        # sizes only grow on the way: who is too small for one is too small for the rest
+        going = (key[left] == key[right]) & (unit[left] == unit[right]) & (n[left] >= threshold * n[right] - 1e-9)
+        left, right = left[going], right[going]
+        needed = threshold / (1 + threshold) * (n[left] + n[right]) - 1e-9
+        good = (ahead[left] >= needed) & (ahead[right] >= needed) & (rid[left] != rid[right]) & ((side[left] == 2) | (side[left] != side[right]))
+        if good.any():
+            a, b = rid[left[good]], rid[right[good]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _pair_batches(threshold: float, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-def _whole(width: int, least_words: int):
-    schema = pa.schema([("src", pa.string()), ("key", pa.int64()), ("class", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+        def out() -> pa.RecordBatch:
+            both = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])], axis=1), axis=0) if len(pairs) > 1 else np.stack(pairs[0], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["ra", "rb"])
+
+        def take(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, pairs, size
+            columns = [np.concatenate(c) for c in zip(*held)]
+            key, unit = columns[0], columns[1] >> 2
+            # the last key's rows may go on
+            cut = len(key) if last else int(np.flatnonzero((key != key[-1]) | (unit != unit[-1])).max(initial=-1)) + 1
+            for found in _pair_arrays(threshold, *(c[:cut] for c in columns)):
+                pairs.append(found)
+                size += len(found[0])
+                if size > most:
+                    yield out()
+                    pairs, size = [], 0
+            held, rows = [[c[cut:] for c in columns]], len(key) - cut
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, key, text = (batch.column(i).to_pylist() for i in range(3))
-            rows = [(s, k, _hash_bytes(v.tobytes()), v, _bits(v)) for s, k, v in zip(src, key, shingle_batch(text, width, _seed(src), least_words)) if v is not None]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            rows += batch.num_rows
+            if rows > most:
+                yield from take(False)
+        if held:
+            yield from take(True)
+        if pairs:
+            yield out()
 
     return run
 
 
+def _met(units: DataFrame, threshold: float, held: int) -> DataFrame:
+    """(ra, rb), smaller first, of ``units(key, unit, id, np)`` (``np`` the size times 2^32 plus the place): each pair once."""
+    spread = units.repartition(F.col("key"), F.shiftright("unit", 2)).sortWithinPartitions("key", F.shiftright("unit", 2), "np")
+    return spread.mapInArrow(_pair_batches(threshold, held), "ra long, rb long").distinct()
+
+
 def _sets(width: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("class", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -211,73 +289,63 @@ def _sets(width: int, least_words: int):
     return run
 
 
-def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, *, width: int = 5, threshold: float = 0.8, least_words: int = 1, bucket_bits: int = BUCKET_BITS, block: int = BLOCK, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """Members (src, key, class) and class pairs (class_a, class_b, similarity) of ``texts(src, key, text)``; sources stay apart."""
     spark = texts.sparkSession
     t = texts.where("text is not null").select("src", F.col("key").cast("long").alias("key"), "text")
-    # how many texts hold each shingle, over all texts; repeated rows of a key count again, which only moves the order
-    counts = t.select("src", "text").mapInArrow(_count_shingles(width, least_words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n_texts")).where("n_texts > 1")
-    counts = staged(counts, "shingle-counts")
-    if counts.count() <= BROADCAST_SHINGLES:
-        table = counts.toArrow()
-        values, often = table.column(0).to_numpy(), table.column(1).to_numpy()
-        shared = spark.sparkContext.broadcast(frequency_levels(values, often))
-        discard(counts)
-        rows = t.mapInArrow(_prefixes(width, threshold, least_words, shared), _ROWS_DDL)
-    else:
-        rows = _rows_by_join(t, counts, width, threshold, least_words)
-    rows = staged(rows, "prefixes")
-    release(spark)
+    # repeated rows of a key count again, which only moves the order
+    level = bucket_levels(t.select("src", "text"), width, least_words, bucket_bits)
+    shared = spark.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))
+    rows = staged(t.mapInArrow(_prefixes(width, threshold, least_words, shared, bucket_bits, block), _ROWS_DDL), "prefixes")
     members = staged(rows.select("src", "key", "class").distinct(), "members")
     classes = staged(rows.groupBy("class").agg(F.min(F.struct("src", "key")).alias("one"), F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
     tellers = staged(rows.where("pos is not null").select("rid", "gid"), "tellers")
     # Postings of the groups, each told by at least one row: 40 bits of the shingle, as a meeting by chance only costs a
     # check; place and size in one number.
+    upper = F.shiftleft(F.col("x.high").bitwiseAND(F.lit(_OFTEN - 1)).cast("long"), 32) + (F.col("x.low").cast("long") + F.lit(1 << 31))
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("x.pos")
-    upper = F.shiftleft(F.col("x.high").cast("long"), 32) + (F.col("x.low").cast("long") + F.lit(1 << 31))
-    postings = rows.where("pos is not null").select("rid", "n", F.explode(F.arrays_zip("pos", "low", "high")).alias("x")).select(upper.alias("shingle"), "rid", packed.alias("np"))
-    postings = postings.repartition("shingle")
-    a = postings.select("shingle", F.col("rid").alias("ra"), F.col("np").alias("npa"))
-    b = postings.select("shingle", F.col("rid").alias("rb"), F.col("np").alias("npb"))
-    size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
-    na, nb = size("npa"), size("npb")
-    needed = threshold / (1 + threshold) * (na + nb) - 1e-9
-    met = a.join(b, "shingle").where((F.col("ra") < F.col("rb")) & (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9) & (na - place("npa") >= needed) & (nb - place("npb") >= needed))
-    pairs = staged(met.select("ra", "rb").distinct(), "group-pairs")
+    postings = rows.where("pos is not null").select("rid", "n", F.explode(F.arrays_zip("pos", "low", "high")).alias("x"))
+    shape = lambda p: p.select(upper.alias("key"), F.col("rid").alias("id"), packed.alias("np"))
+    some = shape(postings.where(F.col("x.high") >= _OFTEN))
+    units = in_units(shape(postings.where(F.col("x.high") < _OFTEN)), "key", "id", None).unionByName(in_units(some, "key", "id", some.groupBy("key").agg(F.count(F.lit(1)).alias("n")), block))
+    pairs = staged(_met(units.select("key", "unit", "id", "np"), threshold, held), "group-pairs")
     discard(rows)
-    release(spark)
     # groups to classes, with a safe bound on what two sets share from their sizes and bitmaps
     own = classes.select("gid", "class", "n", "bits")
     told = tellers.join(own, "gid")
     across = pairs.join(told.toDF("g1", "ra", "c1", "n1", "b1"), "ra").join(told.toDF("g2", "rb", "c2", "n2", "b2"), "rb").where("g1 <> g2").select("c1", "n1", "b1", "c2", "n2", "b2")
-    within = own.toDF("g1", "c1", "n1", "b1").join(own.toDF("g2", "c2", "n2", "b2"), F.col("g1") == F.col("g2")).where("c1 < c2").select("c1", "n1", "b1", "c2", "n2", "b2")
+    # classes of one group
+    several = own.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("gid", "key")
+    fellows = own.select(F.col("gid").alias("key"), F.col("class").alias("id"), F.shiftleft(F.col("n").cast("long"), 32).alias("np")).join(several.select("key"), "key", "left_semi")
+    inside = _met(in_units(fellows, "key", "id", several, block).select("key", "unit", "id", "np"), threshold, held)
+    part = lambda i: own.select(F.col("class").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"b{i}"))
+    within = inside.toDF("c1", "c2").join(part(1), "c1").join(part(2), "c2").select("c1", "n1", "b1", "c2", "n2", "b2")
     apart = sum((F.bit_count(F.col("b1")[i].bitwiseXOR(F.col("b2")[i])) for i in range(1, 4)), F.bit_count(F.col("b1")[0].bitwiseXOR(F.col("b2")[0])))
     shared_least = 2 * threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
     near = across.unionByName(within).where(F.col("n1") + F.col("n2") - apart >= shared_least)
     candidates = staged(near.select(F.least("c1", "c2").alias("class_a"), F.greatest("c1", "c2").alias("class_b")).distinct(), "class-pairs")
     discard(pairs)
-    release(spark)
     # whole sets of the classes that are in a pair, from one text of each
     involved = candidates.select(F.col("class_a").alias("class")).union(candidates.select("class_b")).distinct()
-    one = staged(classes.join(involved, "class", "left_semi").select("one.src", "one.key", "class"), "involved")
-    few = one.count() <= BROADCAST_ROWS
-    sets = t.join(F.broadcast(one) if few else one, ["src", "key"]).select("src", "text", "class").mapInArrow(_sets(width, least_words), "class long, shingles array<long>")
-    sets = staged(sets, "class-sets")
-    release(spark)
-    small = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
-    sets = F.broadcast(sets) if small else sets
+    one = classes.join(involved, "class", "left_semi").select("one.src", "one.key", "class")
+    sets = staged(t.join(one, ["src", "key"]).select("src", "text", "class").mapInArrow(_sets(width, least_words), "class long, shingles array<long>"), "class-sets")
     left, right = sets.toDF("class_a", "set_a"), sets.toDF("class_b", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    checked = candidates.join(left, "class_a").join(right, "class_b").withColumn("__both", both).withColumn("similarity", F.col("__both") / (F.size("set_a") + F.size("set_b") - F.col("__both")))
+    with_a = skew_join(candidates, left, ["class_a"], "inner", spread=F.col("class_b"))
+    checked = skew_join(with_a, right, ["class_b"], "inner", spread=F.col("class_a"), counted=candidates).withColumn("__both", both).withColumn("similarity", F.col("__both") / (F.size("set_a") + F.size("set_b") - F.col("__both")))
     # a text sent again gave its set twice
     found = checked.where(F.col("similarity") >= threshold - 1e-12).select("class_a", "class_b", "similarity").distinct()
     return members, found
 
 
-def key_pairs(members: DataFrame, class_pairs: DataFrame) -> DataFrame:
+def key_pairs(members: DataFrame, class_pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, key_a, key_b): pairs of different keys, smaller first, of equal and of paired classes."""
     m = members.select("class", "src", "key")
-    same = m.toDF("class", "src", "a").join(m.select("class", F.col("key").alias("b")), "class").where("a < b").select("src", "a", "b")
+    several = m.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    u = in_units(m.join(several.select("class"), "class", "left_semi"), "class", "key", several, block)
+    u = u.select("class", "src", "key", F.shiftright("unit", 2).alias("unit"), F.col("unit").bitwiseAND(F.lit(3)).alias("side"))
+    other = u.select("class", "unit", F.col("key").alias("b"), F.col("side").alias("sb"))
+    same = u.where("side <> 1").toDF("class", "src", "a", "unit", "sa").join(other, ["class", "unit"]).where("(sa = 2 and sb = 2 and a < b) or (sa = 0 and sb = 1)").select("src", "a", "b")
     near = class_pairs.select("class_a", "class_b").join(m.toDF("class_a", "src", "a"), "class_a").join(m.select(F.col("class").alias("class_b"), F.col("key").alias("b")), "class_b").select("src", "a", "b")
     both = same.unionByName(near)
     return both.select("src", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))

@@ -32,15 +32,14 @@ def corpus(seed):
     return [*rows, ("a", 900, None), ("a", 901, ""), ("a", 902, "one two"), *rows[:3]]
 
 
-@pytest.mark.parametrize("by_join", [False, True])
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize(("width", "threshold", "least"), [(3, 0.6, 10), (5, 0.8, 1), (1, 0.5, 1)])
-def test_against_brute_force(spark, monkeypatch, by_join, width, threshold, least):
-    if by_join:
-        monkeypatch.setattr(N, "BROADCAST_SHINGLES", 0)
-        monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+def test_against_brute_force(spark, small, width, threshold, least):
+    # small: as large input does, with full buckets, frequent shingles in blocks, batches that end within a key
+    sizes = {"bucket_bits": 4, "block": 3, "held": 5} if small else {}
     rows = corpus(width)
     df = spark.createDataFrame([(*r, 1) for r in rows], "src string, key long, text string, shingle int")
-    got = [tuple(r) for r in N.key_pairs(*N.near_duplicates(df, width=width, threshold=threshold, least_words=least)).collect()]
+    got = [tuple(r) for r in N.key_pairs(*N.near_duplicates(df, width=width, threshold=threshold, least_words=least, **sizes), block=sizes.get("block", N.BLOCK)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, width, threshold, least)
 
 
