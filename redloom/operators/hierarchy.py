@@ -1,211 +1,119 @@
 """Parent-child links to nested-set hierarchies.
 
 Subtree sizes are computed upward, sibling ranges are allocated downward by prefix sums, and a record's descendants are
-the records whose ``pre`` lies inside its ``[pre, pre_end)`` in the same tree.  What the upward pass never reaches lies
-on a loop; what the downward pass never reaches from a top hangs below one.
+the records whose ``pre`` lies inside its ``[pre, pre_end)`` in the same tree.
 
-A scope (a document) of up to ``local_limit`` records is solved inside one task, many scopes at a time, on arrays; a
-larger one by rounds of joins, one round a level, whose sibling prefix sums go through buckets so that no parent's
-children meet in one task.
+Both passes double the way they look in each round, so a tree of depth d takes about log2(d) rounds of joins, whatever
+its size: after round k a record knows its ancestor 2^k steps up and how much lies less than 2^k steps below it.  Only
+records with children take part; the others are one step below one of them.  Siblings are ordered by key; their prefix
+sums are taken over ranges of (scope, parent, key), so no parent's children have to meet in one task.  A record that finds
+itself the smallest on its own way up lies on a loop and is that loop's root.
 
 Defined results
 * a record without a parent, or whose parent is not in its scope: a top, ``depth`` 0, ``root_key`` its own key.
-* a record on a loop or below one: ``depth`` -1, ``root_key`` the smallest key on that loop; a record naming itself is a loop.
+* a record on a loop or below one: ``depth`` -1, ``root_key`` the smallest key on that loop, ``pre`` and ``pre_end`` -1; a
+  record naming itself is a loop.
 * a child listed more than once: the smallest parent key counts.  Repeated keys: one row each.
 * empty input: no rows, same columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redloom.operators.skew import skew_join
-from redloom.session import staged
+from redloom.session import discard, staged
 
-LOCAL_LIMIT = 200_000
-BUCKETS = 64
 #: Places of a block of ranges, as many times those of the next smaller one.
 BASE = 16
-#: Records handled together on arrays in a task.
-BATCH = 200_000
 COLUMNS = ["scope", "node_key", "parent_key", "root_key", "depth", "pre", "pre_end"]
-FIELDS = "node_key long, parent_key long, root_key long, depth int, pre long, pre_end long"
+_KEY = ["scope", "node_key"]
 
 
-def solve_forest(parent: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the root, depth, pre and size of each record; ``parent`` has indices, -1 for none.
+def _upward(parents: DataFrame) -> DataFrame:
+    """Root, depth and number of descendants of ``parents(scope, node_key, parent_key, kids)``, the records with children.
 
-    On or below a loop the root is the loop's record with the smallest key, the depth -1.
+    Gives (scope, node_key, anc, dist, below, loop): the root, the steps to it, the descendants, and whether a loop is its
+    root.  ``low`` is the smallest key on the way up so far.
     """
-    n = len(parent)
-    has = parent >= 0
-    waiting = np.bincount(parent[has], minlength=n)
-    size = np.ones(n, np.int64)
-    done = np.zeros(n, bool)
-    level = np.flatnonzero(waiting == 0)
-    while len(level):  # upward
-        done[level] = True
-        child = level[parent[level] >= 0]
-        up = parent[child]
-        np.add.at(size, up, size[child])
-        np.subtract.at(waiting, up, 1)
-        up = np.unique(up)
-        level = up[(waiting[up] == 0) & ~done[up]]
-    looped = np.flatnonzero(~done)
-    root = np.full(n, -1, np.int64)
-    depth = np.full(n, -1, np.int64)
-    pre = np.zeros(n, np.int64)
-    # siblings by key; the first place of each among its parent's children
-    order = np.lexsort((key, np.where(has, parent, -1)))
-    sums = np.cumsum(size[order]) - size[order]
-    owner = np.where(has, parent, -1)[order]
-    first = np.r_[True, owner[1:] != owner[:-1]] if n else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-    offset = np.empty(n, np.int64)
-    offset[order] = sums - sums[start] + 1
-    kids, begin = order, np.searchsorted(owner, np.arange(n), "left")
-    end = np.searchsorted(owner, np.arange(n), "right")
-
-    def down(level: np.ndarray, loops: bool) -> None:
-        while len(level):
-            count = end[level] - begin[level]
-            who = np.repeat(level, count)
-            child = kids[np.repeat(begin[level] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
-            if loops:
-                keep = done[child]
-                who, child = who[keep], child[keep]
-            root[child] = root[who]
-            if not loops:
-                depth[child] = depth[who] + 1
-                pre[child] = pre[who] + offset[child]
-            level = child
-
-    tops = np.flatnonzero(~has)
-    root[tops], depth[tops] = tops, 0
-    down(tops, False)
-    if len(looped):
-        least, jump = looped[np.argsort(key[looped])], parent.copy()
-        low = np.arange(n)
-        for _ in range(int(np.ceil(np.log2(len(looped)))) + 1):  # doubling around the loops
-            other = low[jump[looped]]
-            low[looped] = np.where(key[other] < key[low[looped]], other, low[looped])
-            jump[looped] = jump[jump[looped]]
-        del least
-        root[looped] = low[looped]
-        down(looped, True)
-    return root, depth, pre, size
-
-
-def _solve_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-    scope = pd.factorize(pdf["scope"])[0].astype(np.int64)
-    key = pdf["node_key"].to_numpy(np.int64)
-    parent_key = pdf["parent_key"].to_numpy(np.float64, na_value=np.nan) if pdf["parent_key"].dtype == object else pdf["parent_key"].to_numpy()
-    none = pd.isna(pdf["parent_key"]).to_numpy()
-    at = pd.Series(np.arange(len(pdf)), index=pd.MultiIndex.from_arrays([scope, key]))
-    parent = np.full(len(pdf), -1, np.int64)
-    if (~none).any():
-        wanted = pd.MultiIndex.from_arrays([scope[~none], parent_key[~none].astype(np.int64)])
-        parent[~none] = at.index.get_indexer(wanted)
-    root, depth, pre, size = solve_forest(parent, key)
-    out = pdf.copy()
-    out["root_key"], out["depth"], out["pre"] = key[root], depth.astype(np.int32), np.where(depth >= 0, pre, -1)
-    out["pre_end"] = np.where(depth >= 0, pre + size, -1)
-    return out
-
-
-def _solve_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole scopes at a time; the rows come sorted by scope."""
-    held: list[pd.DataFrame] = []
-    rows = 0
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        held.append(pdf)
-        rows += len(pdf)
-        if rows >= BATCH:
-            whole = pd.concat(held, ignore_index=True)
-            last = whole["scope"] == whole["scope"].iloc[-1]
-            if not last.all():
-                yield _solve_batch(whole[~last].reset_index(drop=True))
-            held = [whole[last]]
-            rows = int(last.sum())
-    if held:
-        yield _solve_batch(pd.concat(held, ignore_index=True))
-
-
-def _rounds(links: DataFrame) -> DataFrame:
-    """The same by joins, a round a level, for scopes too large for a task."""
-    key = ["scope", "node_key"]
-    up = F.col("parent_key").alias("node_key")
-    known = links.select(*key)
-    # a parent outside the scope counts as none
-    links = staged(links.join(known.withColumnRenamed("node_key", "parent_key").withColumn("__in", F.lit(True)), ["scope", "parent_key"], "left").withColumn("parent_key", F.when(F.col("__in"), F.col("parent_key"))).select(*key, "parent_key"), "forest")
-    children = links.where("parent_key is not null").groupBy("scope", up).agg(F.count(F.lit(1)).alias("kids"))
-    waiting = staged(links.join(children, key, "left").select(*key, "parent_key", F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(0).cast("long").alias("got"), F.lit(1).cast("long").alias("size")), "forest-up")
-    sizes: list[DataFrame] = []
-    while True:  # upward
-        ready = waiting.where("kids = got")
-        if ready.isEmpty():
-            break
-        sizes.append(ready.select(*key, "size"))
-        told = ready.where("parent_key is not null").groupBy("scope", up).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-        waiting = staged(waiting.where("kids <> got").join(told, key, "left").select(*key, "parent_key", "kids", (F.col("got") + F.coalesce("n", F.lit(0))).alias("got"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size")), "forest-up")
-    looped = waiting.select(*key, "parent_key")
-    done = sizes[0] if sizes else links.select(*key, F.lit(1).cast("long").alias("size")).limit(0)
-    for x in sizes[1:]:
-        done = done.unionByName(x)
-    # sibling offsets: within a bucket by a window, between buckets from the buckets' totals
-    kids = links.join(done, key).withColumn("bucket", F.pmod(F.xxhash64("node_key"), F.lit(BUCKETS)))
-    within = Window.partitionBy("scope", "parent_key", "bucket").orderBy("node_key").rowsBetween(Window.unboundedPreceding, -1)
-    between = Window.partitionBy("scope", "parent_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = kids.groupBy("scope", "parent_key", "bucket").agg(F.sum("size").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(between), F.lit(0))).drop("t")
-    sized = kids.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # a top stands alone: its offset is never used
-    placed = staged(sized.where("parent_key is not null").join(totals, ["scope", "parent_key", "bucket"]).select(*key, "parent_key", "size", (F.col("own") + F.col("before") + 1).alias("offset")).unionByName(sized.where("parent_key is null").select(*key, "parent_key", "size", F.lit(0).cast("long").alias("offset"))), "forest-sized")
-    # smallest key of each loop, by doubling
-    jump = staged(looped.select(*key, F.col("parent_key").alias("to"), F.least("node_key", "parent_key").alias("low")), "forest-loop")
-    steps, n = 0, jump.count()
-    while (1 << steps) < n:
-        other = jump.select("scope", F.col("node_key").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        jump = staged(jump.join(other, ["scope", "to"]).select(*key, F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "forest-loop")
-        steps += 1
-    on_loop = jump.join(looped, key).select("scope", "node_key", "parent_key", F.col("low").alias("root_key"), F.lit(-1).alias("depth"), F.lit(-1).cast("long").alias("pre"), F.lit(-1).cast("long").alias("pre_end"))
-    tops = placed.where("parent_key is null").select("scope", "node_key", "parent_key", F.col("node_key").alias("root_key"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), F.col("size").alias("pre_end"))
-    level = staged(tops.unionByName(on_loop), "forest-down")
-    found = [level]
-    while True:  # downward
-        above = level.select("scope", F.col("node_key").alias("parent_key"), "root_key", "depth", F.col("pre").alias("p"))
-        sound = F.col("depth") >= 0
-        below = placed.join(above, ["scope", "parent_key"]).select("scope", "node_key", "parent_key", "root_key", F.when(sound, F.col("depth") + 1).otherwise(-1).alias("depth"), F.when(sound, F.col("p") + F.col("offset")).otherwise(-1).alias("pre"), F.when(sound, F.col("p") + F.col("offset") + F.col("size")).otherwise(-1).alias("pre_end"))
-        level = staged(below, "forest-down")
-        if level.isEmpty():
-            break
-        found.append(level)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.select(*COLUMNS)
-
-
-def build_hierarchy(links: DataFrame, local_limit: int = LOCAL_LIMIT) -> DataFrame:
+    top, own = F.col("parent_key").isNull(), F.col("parent_key") == F.col("node_key")
+    at_end = F.coalesce(top | own, F.lit(False))
+    state = staged(parents.select(*_KEY, F.when(at_end, F.col("node_key")).otherwise(F.col("parent_key")).alias("anc"), F.when(at_end, 0).otherwise(1).cast("long").alias("dist"), F.col("kids").alias("below"), F.coalesce("parent_key", "node_key").alias("low"), at_end.alias("end"), F.coalesce(own, F.lit(False)).alias("loop")), "forest-up")
+    step = 1
+    while True:
+        open_, loops = state.agg(F.count_if(~F.col("end")), F.count_if(F.col("loop") & (F.col("anc") == F.col("node_key")))).first()
+        if not open_:
+            return state.drop("low", "end")
+        told = state.where((F.col("dist") == step) & ~F.col("loop")).groupBy("scope", F.col("anc").alias("node_key")).agg(F.sum("below").alias("__more"))
+        ahead = state.select("scope", F.col("node_key").alias("anc"), F.col("anc").alias("__anc"), F.col("dist").alias("__dist"), F.col("low").alias("__low"), F.col("end").alias("__end"), F.col("loop").alias("__loop"))
+        going = skew_join(state.where("not end"), ahead, ["scope", "anc"], "left", spread=F.col("node_key"))
+        # an ancestor that is not there: a parent outside the scope
+        lost, low = F.col("__anc").isNull(), F.least("low", "__low")
+        looped = ~lost & ~F.col("__end") & (low == F.col("node_key"))
+        stays = lost | looped
+        going = going.select(*_KEY, F.when(stays, F.col("node_key")).otherwise(F.col("__anc")).alias("anc"), F.when(stays, 0).otherwise(F.col("dist") + F.col("__dist")).alias("dist"), "below", low.alias("low"), (stays | F.col("__end")).alias("end"), (looped | (~lost & F.col("__end") & F.col("__loop"))).alias("loop"))
+        if loops:
+            # the others of a loop passed its smallest key by
+            roots = state.where(F.col("loop") & (F.col("anc") == F.col("node_key"))).select("scope", F.col("node_key").alias("low"), F.lit(True).alias("__found"))
+            met = skew_join(going, roots, ["scope", "low"], "left", spread=F.col("node_key"), counted=state.where("not end"))
+            here = F.col("__found").isNotNull() & ~F.col("end")
+            going = met.select(*_KEY, F.when(here, F.col("low")).otherwise(F.col("anc")).alias("anc"), "dist", "below", "low", (here | F.col("end")).alias("end"), (here | F.col("loop")).alias("loop"))
+        both = going.unionByName(state.where("end")).join(told, _KEY, "left")
+        new = staged(both.select(*_KEY, "anc", "dist", (F.col("below") + F.coalesce("__more", F.lit(0))).alias("below"), "low", "end", "loop"), "forest-up")
+        discard(state)
+        state, step = new, step * 2
+
+
+def _downward(parents: DataFrame) -> DataFrame:
+    """The sum of the offsets from the top down to each record: ``parents(scope, node_key, up, offset)``, ``up`` null at a top."""
+    top = F.col("up").isNull()
+    state = staged(parents.select(*_KEY, F.coalesce("up", "node_key").alias("anc"), F.when(top, 0).otherwise(F.col("offset")).cast("long").alias("pre"), top.alias("end")), "forest-down")
+    while not state.where("not end").isEmpty():
+        ahead = state.select("scope", F.col("node_key").alias("anc"), F.col("anc").alias("__anc"), F.col("pre").alias("__pre"), F.col("end").alias("__end"))
+        going = skew_join(state.where("not end"), ahead, ["scope", "anc"], "inner", spread=F.col("node_key")).select(*_KEY, F.col("__anc").alias("anc"), (F.col("pre") + F.col("__pre")).alias("pre"), F.col("__end").alias("end"))
+        new = staged(going.unionByName(state.where("end")), "forest-down")
+        discard(state)
+        state = new
+    return state.select(*_KEY, "pre")
+
+
+def _offsets(children: DataFrame) -> DataFrame:
+    """``children(scope, parent_key, node_key, size, ...)`` with ``offset``: 1 more than the sizes of the siblings of smaller keys."""
+    ranged = children.repartitionByRange("scope", "parent_key", "node_key").withColumn("__part", F.spark_partition_id())
+    ranged = staged(ranged, "forest-sized")
+    group = ["scope", "parent_key", "__part"]
+    within = Window.partitionBy(*group).orderBy("node_key").rowsBetween(Window.unboundedPreceding, 0)
+    between = Window.partitionBy("scope", "parent_key").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy(*group).agg(F.sum("size").alias("__t"))
+    # only the first parent of a range may have children in ranges before: no more rows than ranges
+    earlier = totals.withColumn("__before", F.sum("__t").over(between) - F.col("__t")).where("__before > 0").drop("__t")
+    own = ranged.withColumn("__own", F.sum("size").over(within) - F.col("size"))
+    return own.join(F.broadcast(earlier), group, "left").withColumn("offset", F.col("__own") + F.coalesce("__before", F.lit(0)) + 1).drop("__own", "__before", "__part")
+
+
+def build_hierarchy(links: DataFrame) -> DataFrame:
     """``links(scope, node_key bigint, parent_key bigint)`` with root, depth and nested-set range of each record.
 
     Where keys are unique beyond their scope, a hash of the scope will do for it: two scopes of one hash only share a task.
     """
     links = links.select("scope", F.col("node_key").cast("long"), F.col("parent_key").cast("long"))
-    links = staged(links.groupBy("scope", "node_key").agg(F.min("parent_key").alias("parent_key")), "links")
-    large = staged(links.groupBy("scope").count().where(F.col("count") > local_limit).select("scope"), "large-scopes")
-    rest, rounds = links, None
-    if not large.isEmpty():
-        rounds = _rounds(links.join(large, "scope", "left_semi"))
-        rest = links.join(large, "scope", "left_anti")
-    out = rest.repartition("scope").sortWithinPartitions("scope").mapInPandas(_solve_partition, f"scope {dict(links.dtypes)['scope']}, {FIELDS}")
-    return out if rounds is None else out.unionByName(rounds)
+    links = staged(links.groupBy(*_KEY).agg(F.min("parent_key").alias("parent_key")), "links")
+    kids = links.where("parent_key is not null").groupBy("scope", F.col("parent_key").alias("node_key")).agg(F.count(F.lit(1)).alias("kids"))
+    up = _upward(links.join(kids, _KEY))
+    sized = links.join(up.select(*_KEY, "below", F.lit(True).alias("inner")), _KEY, "left").select(*_KEY, "parent_key", (F.coalesce("below", F.lit(0)) + 1).alias("size"), F.coalesce("inner", F.lit(False)).alias("inner"))
+    children = staged(_offsets(sized.where("parent_key is not null")), "forest-placed")
+    # offsets of the records with children, none for tops
+    placed = children.where("inner").select(*_KEY, F.col("parent_key").alias("up"), "offset")
+    sound = up.where("not loop").join(placed, _KEY, "left").select(*_KEY, F.when(F.col("dist") > 0, F.col("up")).alias("up"), "offset")
+    pre = _downward(sound)
+    above = up.join(pre, _KEY, "left").select("scope", F.col("node_key").alias("parent_key"), F.col("anc").alias("root_key"), F.col("dist").alias("__dist"), "loop", F.col("pre").alias("__pre"))
+    joined = skew_join(children.select("scope", "node_key", "parent_key", "size", "offset"), above, ["scope", "parent_key"], "left", spread=F.col("node_key"))
+    lost, looped = F.col("root_key").isNull(), F.coalesce("loop", F.lit(False))
+    begin = F.when(lost, 0).when(looped, -1).otherwise(F.col("__pre") + F.col("offset")).cast("long")
+    below = joined.select(*_KEY, F.when(~lost, F.col("parent_key")).alias("parent_key"), F.coalesce("root_key", "node_key").alias("root_key"), F.when(lost, 0).when(looped, -1).otherwise(F.col("__dist") + 1).cast("int").alias("depth"), begin.alias("pre"), F.when(looped, -1).otherwise(begin + F.col("size")).cast("long").alias("pre_end"))
+    tops = sized.where("parent_key is null").select(*_KEY, "parent_key", F.col("node_key").alias("root_key"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), F.col("size").cast("long").alias("pre_end"))
+    return below.unionByName(tops).select(*COLUMNS)
 
 
 def child_links(nodes: DataFrame, scope: str, key: str, name: str, children: str, as_scope: Column | None = None) -> DataFrame:

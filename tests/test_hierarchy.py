@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import pytest
 
@@ -34,10 +35,20 @@ def forest(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1000, 5])
-def test_against_brute_force(spark, limit):
-    links = forest(limit)
-    got = H.build_hierarchy(spark.createDataFrame(links + links[:5], SCHEMA), local_limit=limit).collect()
+def chains():
+    """Deep lines, loops of several lengths with what hangs below them, and a star."""
+    rows = [("l", k, k - 1 if k else None) for k in range(70)]
+    for n, base in ((2, 1000), (3, 1100), (4, 1200), (6, 1300), (9, 1400)):
+        rows += [("o", base + k, base + (k + 1) % n) for k in range(n)]
+        rows += [("o", base - 20 + k, base + n - 1 if k == 0 else base - 21 + k) for k in range(5)]
+    return rows + [("s", k, 5) for k in range(6, 300)] + [("s", 5, None)] + [("s", 1000 + k, 6 + k) for k in range(100)]
+
+
+@pytest.mark.parametrize("links", [forest(1), forest(5), chains()], ids=["forest", "another", "chains"])
+def test_against_brute_force(spark, monkeypatch, links):
+    # hot keys and ranges that end within a parent's children
+    monkeypatch.setattr(H, "skew_join", partial(H.skew_join, hot_rows=20))
+    got = H.build_hierarchy(spark.createDataFrame(links + links[:5], SCHEMA).repartition(4)).collect()
     assert len(got) == len(links)
     assert {(r.scope, r.node_key): (r.root_key, r.depth) for r in got} == brute(links)
     # ranges: inside a tree a descendant's lies in its ancestor's, and they are as long as the subtree
@@ -53,6 +64,11 @@ def test_against_brute_force(spark, limit):
             if at == r.node_key and x.scope == r.scope:
                 below.add(x.node_key)
         assert inside == below and r.pre_end - r.pre == len(below)
+    # siblings by key
+    for r in sound:
+        if r.depth:
+            smaller = [x.pre for x in sound if (x.scope, up[x.scope, x.node_key]) == (r.scope, up[r.scope, r.node_key]) and x.node_key < r.node_key]
+            assert all(p < r.pre for p in smaller)
 
 
 def test_empty_and_paths(spark):
