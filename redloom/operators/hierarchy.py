@@ -19,7 +19,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from redloom.operators.skew import skew_join
@@ -35,47 +35,55 @@ def _upward(parents: DataFrame) -> DataFrame:
     """Root, depth and number of descendants of ``parents(scope, node_key, parent_key, kids)``, the records with children.
 
     Gives (scope, node_key, anc, dist, below, loop): the root, the steps to it, the descendants, and whether a loop is its
-    root.  ``low`` is the smallest key on the way up so far.
+    root.  ``low`` is the smallest key on the way up so far; ``found`` marks the roots of loops in the round they were found.
     """
-    top, own = F.col("parent_key").isNull(), F.col("parent_key") == F.col("node_key")
-    at_end = F.coalesce(top | own, F.lit(False))
-    state = staged(parents.select(*_KEY, F.when(at_end, F.col("node_key")).otherwise(F.col("parent_key")).alias("anc"), F.when(at_end, 0).otherwise(1).cast("long").alias("dist"), F.col("kids").alias("below"), F.coalesce("parent_key", "node_key").alias("low"), at_end.alias("end"), F.coalesce(own, F.lit(False)).alias("loop")), "forest-up")
-    step = 1
+    own = F.coalesce(F.col("parent_key") == F.col("node_key"), F.lit(False))
+    at_end = own | F.col("parent_key").isNull()
+    first = parents.select(*_KEY, F.when(at_end, F.col("node_key")).otherwise(F.col("parent_key")).alias("anc"), F.when(at_end, 0).otherwise(1).cast("long").alias("dist"), F.col("kids").alias("below"), F.coalesce("parent_key", "node_key").alias("low"), at_end.alias("end"), own.alias("loop"), F.lit(False).alias("found"))
+    state, step = None, 1
     while True:
-        open_, loops = state.agg(F.count_if(~F.col("end")), F.count_if(F.col("loop") & (F.col("anc") == F.col("node_key")))).first()
-        if not open_:
-            return state.drop("low", "end")
+        seen = Observation()
+        new = staged((first if state is None else later).observe(seen, F.count_if(~F.col("end")).alias("open"), F.count_if("found").alias("found")), "forest-up")
+        if state is not None:
+            discard(state)
+            step *= 2
+        state = new
+        if not seen.get["open"]:
+            return state.select(*_KEY, "anc", "dist", "below", "loop")
         told = state.where((F.col("dist") == step) & ~F.col("loop")).groupBy("scope", F.col("anc").alias("node_key")).agg(F.sum("below").alias("__more"))
         ahead = state.select("scope", F.col("node_key").alias("anc"), F.col("anc").alias("__anc"), F.col("dist").alias("__dist"), F.col("low").alias("__low"), F.col("end").alias("__end"), F.col("loop").alias("__loop"))
-        going = skew_join(state.where("not end"), ahead, ["scope", "anc"], "left", spread=F.col("node_key"))
+        # adaptive execution splits the rows of a record that is ahead of many
+        going = state.where("not end").join(ahead, ["scope", "anc"], "left")
         # an ancestor that is not there: a parent outside the scope
         lost, low = F.col("__anc").isNull(), F.least("low", "__low")
         looped = ~lost & ~F.col("__end") & (low == F.col("node_key"))
         stays = lost | looped
-        going = going.select(*_KEY, F.when(stays, F.col("node_key")).otherwise(F.col("__anc")).alias("anc"), F.when(stays, 0).otherwise(F.col("dist") + F.col("__dist")).alias("dist"), "below", low.alias("low"), (stays | F.col("__end")).alias("end"), (looped | (~lost & F.col("__end") & F.col("__loop"))).alias("loop"))
-        if loops:
-            # the others of a loop passed its smallest key by
-            roots = state.where(F.col("loop") & (F.col("anc") == F.col("node_key"))).select("scope", F.col("node_key").alias("low"), F.lit(True).alias("__found"))
-            met = skew_join(going, roots, ["scope", "low"], "left", spread=F.col("node_key"), counted=state.where("not end"))
-            here = F.col("__found").isNotNull() & ~F.col("end")
-            going = met.select(*_KEY, F.when(here, F.col("low")).otherwise(F.col("anc")).alias("anc"), "dist", "below", "low", (here | F.col("end")).alias("end"), (here | F.col("loop")).alias("loop"))
-        both = going.unionByName(state.where("end")).join(told, _KEY, "left")
-        new = staged(both.select(*_KEY, "anc", "dist", (F.col("below") + F.coalesce("__more", F.lit(0))).alias("below"), "low", "end", "loop"), "forest-up")
-        discard(state)
-        state, step = new, step * 2
+        going = going.select(*_KEY, F.when(stays, F.col("node_key")).otherwise(F.col("__anc")).alias("anc"), F.when(stays, 0).otherwise(F.col("dist") + F.col("__dist")).alias("dist"), "below", low.alias("low"), (stays | F.col("__end")).alias("end"), (looped | (~lost & F.col("__end") & F.col("__loop"))).alias("loop"), looped.alias("found"))
+        if seen.get["found"]:
+            # the others of a loop have its smallest key on their way
+            roots = state.where("found").select("scope", F.col("node_key").alias("low"), F.lit(True).alias("__root"))
+            here = F.col("__root").isNotNull() & ~F.col("end")
+            going = going.join(roots, ["scope", "low"], "left").select(*_KEY, F.when(here, F.col("low")).otherwise(F.col("anc")).alias("anc"), "dist", "below", "low", (here | F.col("end")).alias("end"), (here | F.col("loop")).alias("loop"), "found")
+        both = going.unionByName(state.where("end").withColumn("found", F.lit(False))).join(told, _KEY, "left")
+        later = both.select(*_KEY, "anc", "dist", (F.col("below") + F.coalesce("__more", F.lit(0))).alias("below"), "low", "end", "loop", "found")
 
 
 def _downward(parents: DataFrame) -> DataFrame:
     """The sum of the offsets from the top down to each record: ``parents(scope, node_key, up, offset)``, ``up`` null at a top."""
     top = F.col("up").isNull()
-    state = staged(parents.select(*_KEY, F.coalesce("up", "node_key").alias("anc"), F.when(top, 0).otherwise(F.col("offset")).cast("long").alias("pre"), top.alias("end")), "forest-down")
-    while not state.where("not end").isEmpty():
-        ahead = state.select("scope", F.col("node_key").alias("anc"), F.col("anc").alias("__anc"), F.col("pre").alias("__pre"), F.col("end").alias("__end"))
-        going = skew_join(state.where("not end"), ahead, ["scope", "anc"], "inner", spread=F.col("node_key")).select(*_KEY, F.col("__anc").alias("anc"), (F.col("pre") + F.col("__pre")).alias("pre"), F.col("__end").alias("end"))
-        new = staged(going.unionByName(state.where("end")), "forest-down")
-        discard(state)
+    later = parents.select(*_KEY, F.coalesce("up", "node_key").alias("anc"), F.when(top, 0).otherwise(F.col("offset")).cast("long").alias("pre"), top.alias("end"))
+    state = None
+    while True:
+        seen = Observation()
+        new = staged(later.observe(seen, F.count_if(~F.col("end")).alias("open")), "forest-down")
+        if state is not None:
+            discard(state)
         state = new
-    return state.select(*_KEY, "pre")
+        if not seen.get["open"]:
+            return state.select(*_KEY, "pre")
+        ahead = state.select("scope", F.col("node_key").alias("anc"), F.col("anc").alias("__anc"), F.col("pre").alias("__pre"), F.col("end").alias("__end"))
+        going = state.where("not end").join(ahead, ["scope", "anc"]).select(*_KEY, F.col("__anc").alias("anc"), (F.col("pre") + F.col("__pre")).alias("pre"), F.col("__end").alias("end"))
+        later = going.unionByName(state.where("end"))
 
 
 def _offsets(children: DataFrame) -> DataFrame:

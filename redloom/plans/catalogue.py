@@ -10,7 +10,8 @@ from redloom.functions.stem import stem_tokens
 from redloom.operators import chunks as C
 from redloom.operators import evals, retrieval, revisions, structure, summaries, terms, views
 from redloom.plans import adapters as A
-from redloom.session import table
+from redloom.session import staged, table
+from redloom.sources import docx, writer
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -173,6 +174,52 @@ def view_offsets(spark: SparkSession, d: str) -> DataFrame:
     return views.view_offsets(points, views.project(s, "original")).select("document_id", "part_id", F.col("offset").alias("union_offset"), "view_offset")
 
 
+# --- packages: written from the tables, read back by the package reader
+
+
+def _packages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    files = writer.write_packages(A.pieces(spark, d).where("text <> ''"), ["document_id", "part_id"])
+    return _package_tables(files)
+
+
+def _package_tables(files: DataFrame) -> dict[str, DataFrame]:
+    rows = staged(docx.parse_files(files), "packages")
+    names = rows.select(F.col("document_id").alias("__hash"), "path").distinct()
+    # equal packages have one id and several paths
+    return {k: t.withColumnRenamed("document_id", "__hash").join(names, "__hash").withColumns({"document_id": F.substring_index("path", "/", 1), "stream_part": F.expr("substring(path, instr(path, '/') + 1)")}).drop("__hash") for k, t in docx.tables_of(rows).items()}
+
+
+@query(f"WITH {A.PIECES_SQL} SELECT document_id, part_id, CAST(row_number() OVER (PARTITION BY document_id, part_id ORDER BY span_ord) - 1 AS INTEGER) AS span_ord, CAST(start_off AS INTEGER) AS start_off, CAST(end_off AS INTEGER) AS end_off, array_to_string(stack, '|') AS stack, text FROM spans")
+def package_spans(spark: SparkSession, d: str) -> DataFrame:
+    t = _packages(spark, d)["span"].distinct()
+    return t.select("document_id", F.col("stream_part").alias("part_id"), "span_ord", "start_off", "end_off", F.array_join("stack", "|").alias("stack"), "text")
+
+
+@query(f"""
+WITH {A.PIECES_SQL}, x AS (SELECT document_id, part_id, span_ord, unnest(stack) AS rid, stack FROM spans)
+SELECT document_id, part_id, rid AS revision_id, split_part(rid, ':', 1) AS kind, array_to_string(list_filter(arg_min(stack, span_ord), lambda r: r <> rid AND starts_with(rid, 'del:')), '|') AS ancestors FROM x GROUP BY document_id, part_id, rid""")
+def package_revisions(spark: SparkSession, d: str) -> DataFrame:
+    t = _packages(spark, d)["revision"]
+    return t.select("document_id", F.col("stream_part").alias("part_id"), "revision_id", "kind", F.array_join("ancestors", "|").alias("ancestors")).distinct()
+
+
+@query("""
+WITH c AS (SELECT DISTINCT ON (comment_key) * FROM comment_labels)
+SELECT document_id, CAST(comment_key AS VARCHAR) AS comment_id, para_id, author, initials, date_raw AS date, coalesce(replace(text, chr(10), ' '), '') AS text, CASE WHEN para_id IS NULL THEN NULL ELSE parent_id END AS parent_id, CASE WHEN para_id IS NULL THEN NULL ELSE resolved END AS resolved,
+  CASE WHEN count(para_id) OVER (PARTITION BY document_id) = 0 THEN 'unknown' WHEN para_id IS NULL THEN 'unknown' ELSE 'verified' END AS threading_status FROM c
+WHERE document_id NOT IN (SELECT document_id FROM c WHERE para_id IS NOT NULL GROUP BY document_id, para_id HAVING count(*) > 1)""")
+def package_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments through a package; of documents that use a paragraph id twice the threads are not one comment's."""
+    c = A.comments(spark, d)
+    twice = c.where("para_id is not null").groupBy("document_id", "para_id").count().where("count > 1").select("document_id").distinct()
+    c = c.join(twice, "document_id", "left_anti")
+    own = c.select("document_id", F.lit("c").alias("part_id"), F.col("comment_key").alias("comment_ord"), F.col("comment_key").cast("string").alias("comment_id"), "para_id", "author", "initials", F.col("date_raw").alias("date"), F.translate(F.coalesce("text", F.lit("")), "\n", " ").alias("text"), "parent_id", "resolved")
+    body = own.select("document_id", "part_id").distinct().select("*", F.lit(0).alias("piece_ord"), F.lit("body").alias("text"), F.array().cast("array<string>").alias("stack"))
+    t = _package_tables(writer.write_packages(body, ["document_id", "part_id"], own))["comment"]
+    stated = F.when(F.col("id_stability") == "paraid", F.col("para_id"))
+    return t.select("document_id", "comment_id", stated.alias("para_id"), "author", "initials", "date", "text", "parent_id", "resolved", "threading_status")
+
+
 # --- revisions and comments
 
 
@@ -425,23 +472,13 @@ def search_tiered(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", "document_id", "chunk_id", "tier", F.array_join("sources", ",").alias("sources"), F.size("locations").alias("n_locations"))
 
 
-@query("""
-WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes), x AS (SELECT DISTINCT document_id, s.part_id AS part_id, s.start_off AS a, s.end_off AS b FROM (SELECT document_id, unnest(spans) AS s FROM n)),
-y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY document_id, part_id ORDER BY a, b), 0) AS want FROM x)
-SELECT document_id, part_id, CAST(a AS INTEGER) AS at_off, CAST(want AS INTEGER) AS expected FROM y WHERE a <> want""")
-def tile_defects(spark: SparkSession, d: str) -> DataFrame:
-    s = A.node_spans(spark, d).select("document_id", "part_id", "start_off", "end_off").distinct()
-    none = A.streams(spark, d).where("false")
-    return evals.tile_defects(s, none).select("document_id", "part_id", F.col("at").alias("at_off"), "expected")
-
-
 @query("""
 WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes), x AS (SELECT DISTINCT document_id, s.part_id AS part_id, s.start_off AS a, s.end_off AS b FROM (SELECT document_id, unnest(spans) AS s FROM n)),
 y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY document_id, part_id ORDER BY a, b), 0) AS want FROM x),
 st AS (SELECT DISTINCT ON (stream_key) document_id, part_id, length(text) AS n FROM streams WHERE text IS NOT NULL), e AS (SELECT document_id, part_id, max(b) AS b FROM x GROUP BY ALL)
 SELECT document_id, part_id, CAST(a AS INTEGER) AS at_off, CAST(want AS INTEGER) AS expected FROM y WHERE a <> want
 UNION ALL SELECT st.document_id, st.part_id, CAST(coalesce(b, 0) AS INTEGER), CAST(n AS INTEGER) FROM st LEFT JOIN e ON e.document_id = st.document_id AND e.part_id = st.part_id WHERE coalesce(b, 0) <> n""")
-def tile_defects_whole(spark: SparkSession, d: str) -> DataFrame:
+def tile_defects(spark: SparkSession, d: str) -> DataFrame:
     """With the parts whose spans stop before or after the end of the text, and streams without any span."""
     s = A.node_spans(spark, d).select("document_id", "part_id", "start_off", "end_off").distinct()
     return evals.tile_defects(s, A.streams(spark, d)).select("document_id", "part_id", F.col("at").alias("at_off"), "expected")

@@ -4,7 +4,8 @@
 revisions, comments and gaps.  A package that cannot be read gives one ``error`` row, never a failed job.
 
 Inserted and deleted text stand in one stream per part.  Every paragraph ends in a line end with an empty stack; tabs are
-U+0009, breaks U+000B; a field's instruction is no text, its result is.
+U+0009, breaks U+000B; a field's instruction is no text, its result is.  Blocks inside a revision mark that stands around
+whole paragraphs are not read; they are reported as the gap ``unrecognized_container``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -40,6 +42,7 @@ W15 = "http://schemas.microsoft.com/office/word/2012/wordml"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
 STRICT_REL = "http://purl.oclc.org/ooxml/officeDocument/relationships/"
 
+# fixed values: elements of the format that hold blocks, hold runs, or carry no text
 _BLOCKS = {"document", "body", "tbl", "tr", "tc", "sdtContent", "hdr", "ftr", "footnotes", "endnotes", "footnote", "endnote", "comment", "comments", "customXml", "sdt"}
 _INLINE = {"r", "hyperlink", "fldSimple", "smartTag", "customXml", "dir", "bdo", "sdt", "sdtContent"}
 _QUIET = {"sectPr", "tblPr", "tblGrid", "trPr", "tcPr", "sdtPr", "sdtEndPr", "bookmarkStart", "bookmarkEnd", "pPr", "rPr", "proofErr", "lastRenderedPageBreak", "instrText", "tblPrEx", "delInstrText"}
@@ -53,6 +56,11 @@ class PackageError(ValueError):
     pass
 
 
+def _whole(text: str | None) -> int | None:
+    """A whole number as typed, None for anything else."""
+    return int(text) if text is not None and re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", text) else None
+
+
 def _tag(e) -> tuple[str, str]:
     name = e.tag if isinstance(e.tag, str) else ""
     uri, _, local = name[1:].rpartition("}") if name[:1] == "{" else ("", "", name)
@@ -107,7 +115,7 @@ class Package:
                 if sum(i.file_size for i in z.infolist()) > MAX_TOTAL or any(i.file_size > MAX_MEMBER for i in z.infolist()):
                     raise PackageError("the package expands beyond the limit")
                 self.members = {i.filename.lstrip("/"): z.read(i) for i in z.infolist() if not i.is_dir()}
-        except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, RuntimeError, EOFError, NotImplementedError) as x:
+        except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, RuntimeError, EOFError, NotImplementedError, zlib.error) as x:
             raise PackageError(f"no readable zip: {x}") from x
         self.defaults, self.overrides = {}, {}
         if "[Content_Types].xml" in self.members:
@@ -220,18 +228,18 @@ class Numbering:
         shapes = {}
         for a in root:
             if w_local(a) == "abstractNum":
-                shapes[attr(a, "abstractNumId")] = {int(attr(v, "ilvl") or 0): v for v in a if w_local(v) == "lvl"}
+                shapes[attr(a, "abstractNumId")] = {_whole(attr(v, "ilvl")) or 0: v for v in a if w_local(v) == "lvl"}
         for n in root:
             if w_local(n) != "num":
                 continue
             num, own = attr(n, "numId"), {}
             for ix, v in shapes.get(value(n, "abstractNumId"), {}).items():
-                own[ix] = {"start": int(value(v, "start") or 1), "fmt": value(v, "numFmt") or "decimal", "text": value(v, "lvlText") or ""}
+                own[ix] = {"start": 1 if _whole(value(v, "start")) is None else _whole(value(v, "start")), "fmt": value(v, "numFmt") or "decimal", "text": value(v, "lvlText") or ""}
                 if value(v, "pStyle"):
                     self.style_level[num, value(v, "pStyle")] = ix
             for o in n:
-                if w_local(o) == "lvlOverride" and value(o, "startOverride"):
-                    own.setdefault(int(attr(o, "ilvl") or 0), {"fmt": "decimal", "text": ""})["start"] = int(value(o, "startOverride"))
+                if w_local(o) == "lvlOverride" and _whole(value(o, "startOverride")) is not None:
+                    own.setdefault(_whole(attr(o, "ilvl")) or 0, {"fmt": "decimal", "text": ""})["start"] = _whole(value(o, "startOverride"))
             self.levels[num] = own
 
     def label(self, counters: dict, num: str, level: int) -> str | None:
@@ -325,11 +333,6 @@ class Walker:
         if local == "p":
             self._paragraph(e, part, stack, parent, ref, state)
             return
-        if local in _REVISIONS:
-            inside = self._revision(e, part, stack)
-            for i, c in enumerate(e):
-                self._block(c, part, inside, parent, f"{ref}{local}[{i}]/", state)
-            return
         if local in ("commentRangeStart", "commentRangeEnd"):
             self._range(e, local, part)
             return
@@ -370,11 +373,11 @@ class Walker:
         level = value(num, "ilvl") or self.styles.nearest(style, lambda s: value(child(child(s, "pPr"), "numPr"), "ilvl"))
         if num_id in (None, "0"):
             num_id = None
-        ilvl = int(level) if level is not None else self.numbering.style_level.get((num_id, style), 0)
-        outline = value(pr, "outlineLvl")
-        inherited = self.styles.nearest(style, lambda s: value(child(s, "pPr"), "outlineLvl"))
+        ilvl = _whole(level) if _whole(level) is not None else self.numbering.style_level.get((num_id, style), 0)
+        outline = _whole(value(pr, "outlineLvl"))
+        inherited = self.styles.nearest(style, lambda s: _whole(value(child(s, "pPr"), "outlineLvl")))
         node = self._open("para", part, parent, ref + "p")
-        node.update(style=style, para_id=attr(p, "paraId", W14), outline=None if outline is None else int(outline), inherited=None if inherited is None else int(inherited))
+        node.update(style=style, para_id=attr(p, "paraId", W14), outline=outline, inherited=inherited)
         for c in pr if pr is not None else []:
             if w_local(c) == "rPr":
                 for mark in c:
@@ -424,7 +427,7 @@ class Walker:
 
     # inline
 
-    def _inline(self, e, part: _Part, stack: tuple[str, ...], fields: list[bool], runs: list) -> None:
+    def _inline(self, e, part: _Part, stack: tuple[str, ...], fields: list[bool], runs: list, visible: bool = True) -> None:
         local = w_local(e)
         if local in ("t", "delText"):
             text = re.sub(r"\r\n?|\n", "\x0b", e.text or "")
@@ -451,7 +454,7 @@ class Walker:
         elif local in _REVISIONS:
             inside = self._revision(e, part, stack)
             for c in e:
-                self._inline(c, part, inside, fields, runs)
+                self._inline(c, part, inside, fields, runs, visible and local not in ("del", "moveFrom"))
             return
         elif local in ("commentRangeStart", "commentRangeEnd"):
             self._range(e, local, part)
@@ -462,12 +465,12 @@ class Walker:
         elif local in _INLINE:
             if local == "sdt":
                 self.gaps.add("inline_sdt_transparent")
-            before = part.length
             for c in e:
-                self._inline(c, part, stack, fields, runs)
-            if local == "r" and part.length > before:
+                self._inline(c, part, stack, fields, runs, visible)
+            said = sum(len(c.text or "") for c in e if w_local(c) == "t") if local == "r" and visible else 0
+            if said:  # what a paragraph says: no deleted runs, no tabs alone
                 bold = child(child(e, "rPr"), "b")
-                runs.append((part.length - before, bold is not None and _ON.get((attr(bold, "val") or "true").lower(), True)))
+                runs.append((said, bold is not None and _ON.get((attr(bold, "val") or "true").lower(), True)))
             return
         elif local in _QUIET or local in ("commentReference", "annotationRef", "footnoteReference", "endnoteReference", "footnoteRef", "endnoteRef"):
             self._changes(e)
@@ -482,7 +485,7 @@ class Walker:
         kinds = {_tag(x)[1] for x in e.iter()}
         if "txbxContent" in kinds:
             self.gaps.add("textbox")
-        elif any(w_local(x) in ("t", "delText") and (x.text or "").strip() for x in e.iter()):
+        elif "".join(x.text or "" for x in e.iter() if w_local(x) in ("t", "delText")).strip():
             self.gaps.add("unrecognized_container")
 
     def _changes(self, e) -> None:
@@ -631,6 +634,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out += [(key, path, kind, json.dumps(row, ensure_ascii=False)) for kind, row in parse_package(content)]
             except PackageError as x:
                 out.append((key, path, "error", json.dumps({"error": str(x)})))
+            except Exception as x:  # noqa: BLE001  (whatever is wrong with one package, too deep a tree too, is that package's row)
+                out.append((key, path, "error", json.dumps({"error": f"{type(x).__name__}: {x}"})))
         yield pd.DataFrame(out, columns=["document_id", "path", "row_type", "row"])
 
 

@@ -1,7 +1,11 @@
+import io
+import zipfile
+
 import pytest
 
 from redloom.sources import docx
 from redloom.sources.docx import PackageError, parse_package
+from redloom.sources.writer import package_bytes
 from tests.packages import deleted, p, package, r, rev
 
 
@@ -127,3 +131,45 @@ def test_too_large_a_file_gives_an_error_row(spark, tmp_path, monkeypatch):
     assert sorted((r.path.rsplit("/", 1)[-1], r.row_type) for r in rows) == [("large.docx", "error"), ("small.docx", "error")]
     t = docx.tables_of(docx.read_packages(spark, str(tmp_path)))
     assert "the file has 11 bytes, more than 10" in {r.error for r in t["error"].collect()}
+
+
+def test_one_bad_package_never_fails_the_job(spark, tmp_path):
+    good = package(p("fine"))
+    with zipfile.ZipFile(io.BytesIO(good)) as z:
+        at = z.getinfo("word/document.xml").header_offset
+    packed = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(good)) as z, zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for i in z.infolist():
+            out.writestr(i.filename, z.read(i))
+    damaged = bytearray(packed.getvalue())
+    with zipfile.ZipFile(io.BytesIO(packed.getvalue())) as z:
+        at = z.getinfo("word/document.xml").header_offset + 30 + len("word/document.xml")
+    damaged[at : at + 12] = b"\xff" * 12
+    deep = package("<w:tbl><w:tr><w:tc>" * 2000 + p("x") + "</w:tc></w:tr></w:tbl>" * 2000)
+    odd = package(p("odd", '<w:outlineLvl w:val="x"/><w:numPr><w:ilvl w:val="?"/><w:numId w:val="5"/></w:numPr>'), numbering='<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="y"><w:start w:val="z"/></w:lvl></w:abstractNum><w:num w:numId="5"><w:abstractNumId w:val="0"/></w:num>')
+    for name, data in (("good", good), ("damaged", bytes(damaged)), ("deep", deep), ("odd", odd)):
+        (tmp_path / f"{name}.docx").write_bytes(data)
+    t = docx.tables_of(docx.read_packages(spark, str(tmp_path)).cache())
+    assert t["error"].count() == 2 and sorted(r_.text for r_ in t["stream"].collect()) == ["fine\n", "odd\n"]
+
+
+def test_hidden_runs_say_nothing():
+    short = r("Bold", "<w:b/>")
+    kinds = lambda body: [n["kind"] for n in rows(package(p(body)), "node")]
+    assert kinds(short + rev("del", deleted("plain"))) == ["heading"] and kinds(rev("moveFrom", r("plain")) + short) == ["heading"]
+    assert kinds(short + rev("ins", r("plain"))) == ["para"] and kinds(rev("del", deleted("all"))) == ["para"]
+    assert kinds(short + "<w:r><w:tab/></w:r>") == ["heading"]
+
+
+def test_revision_around_whole_paragraphs_is_a_gap():
+    d = package(p("kept") + rev("ins", p("around")))
+    assert [t for t, _ in spans(d)] == ["kept", "\n"] and gaps(d) == ["unrecognized_container"]
+
+
+def test_written_packages_are_read_back():
+    pieces = [("a<b", []), ("&", ["ins:1"]), ("gone", ["ins:1", "del:2"]), ("\n", []), ("\n", []), ("there", ["moveTo:3"]), ("\n", [])]
+    c = {"comment_id": "1", "para_id": "0A", "author": 'A "B"', "initials": None, "date": "x", "text": "said", "parent_id": None, "resolved": False}
+    d = package_bytes(pieces, [c, {**c, "comment_id": "2", "para_id": None, "resolved": None}])
+    assert [(t, s) for t, s in spans(d)] == pieces
+    got = rows(d, "comment")
+    assert [(x["comment_id"], x["author"], x["initials"], x["text"], x["resolved"], x["threading_status"]) for x in got] == [("1", 'A "B"', None, "said", False, "verified"), ("2", 'A "B"', None, "said", None, "unknown")]

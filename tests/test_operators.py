@@ -294,7 +294,7 @@ def test_tile_defects_at_ends(spark, tmp_path):
     n.write.parquet(str(tmp_path / "nodes.parquet"))
     s = spark.createDataFrame([("1", "d", "p", "abcdef"), ("2", "short", "p", "abcdef"), ("3", "long", "p", "abc"), ("4", "none", "p", "ab"), ("5", "empty", "p", "")], "stream_key string, document_id string, part_id string, text string")
     s.write.parquet(str(tmp_path / "streams.parquet"))
-    got = __spark_entry__.queries()["tile_defects_whole"](spark, str(tmp_path)).collect()
+    got = __spark_entry__.queries()["tile_defects"](spark, str(tmp_path)).collect()
     assert {(r.document_id, r.at_off, r.expected) for r in got} == {("short", 3, 6), ("long", 6, 3), ("none", 0, 2)}
 
 
