@@ -120,17 +120,19 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     d = np.zeros((w, b), np.int32)
     for i, (x, y) in enumerate(zip(items, windows)):
         a[: len(x), i], d[: len(y), i] = x, y
+    # no value exceeds a whole match and the ramp together
+    kind = np.int16 if 2 * m + w < 32_000 else np.int32
     # a column a pair; every array is made once
-    score, new, run, after = (np.zeros((w + 1, b), np.int16) for _ in range(4))
-    best, longest = np.zeros((w + 1, b), np.int16), np.zeros((w + 1, b), np.int16)
-    same, gain, drop = np.empty((w, b), bool), np.empty((w, b), np.int16), np.empty((w, b), np.int16)
-    ramp = np.arange(w + 1, dtype=np.int16)[:, None]
+    score, new, run, after = (np.zeros((w + 1, b), kind) for _ in range(4))
+    best, longest = np.zeros((w + 1, b), kind), np.zeros((w + 1, b), kind)
+    same, gain, drop = np.empty((w, b), bool), np.empty((w, b), kind), np.empty((w, b), kind)
+    ramp = np.arange(w + 1, dtype=kind)[:, None]
     for i in range(m):
         np.equal(d, a[i], out=same)
-        np.multiply(same, np.int16(3), out=gain)
-        gain -= np.int16(1)
+        np.multiply(same, kind(3), out=gain)
+        gain -= kind(1)
         gain += score[:-1]
-        np.subtract(score[1:], np.int16(1), out=drop)
+        np.subtract(score[1:], kind(1), out=drop)
         np.maximum(gain, drop, out=gain)
         np.maximum(gain, 0, out=new[1:])
         new[0] = 0
@@ -142,7 +144,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
             new, score = score, new
             step *= 2
         np.subtract(new, ramp, out=score)
-        np.add(run[:-1], np.int16(1), out=after[1:])
+        np.add(run[:-1], kind(1), out=after[1:])
         after[1:] *= same
         run, after = after, run
         np.maximum(best, score, out=best)
@@ -224,7 +226,12 @@ def _find(items: Items, asked: int = 0, least: float = 0.0):
             while i < len(can):
                 # as many windows in step as keep the matrices small
                 some = can[i : i + 256]
-                some = some[: max(1, int(np.searchsorted(np.maximum.accumulate(hi[some] - lo[some]) * np.arange(1, len(some) + 1), CELLS, "right")))]
+                many = np.arange(1, len(some) + 1)
+                wide = np.maximum.accumulate(hi[some] - lo[some])
+                # nor is an item filled up to one more than twice its size
+                alike = np.maximum.accumulate(lengths[item[some]]) <= 2 * lengths[item[some[0]]] + 16
+                some = some[: max(1, int(np.searchsorted(wide * many, CELLS, "right")))]
+                some = some[: max(1, int(np.argmin(np.r_[alike[: len(some)], False])))]
                 i += len(some)
                 own = [items.words[x] for x in item[some]]
                 best, longest = align(own, [ids[a:b] for a, b in zip(lo[some], hi[some])])

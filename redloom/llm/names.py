@@ -39,8 +39,6 @@ NICKNAMES = {
     "marta": "marty", "matilda": "tilly mattie tilda", "matthew": "matt", "michael": "mike mick mickey", "nicholas": "nick nicky", "olav": "ole", "patricia": "pat trish patty tricia", "patrick": "pat paddy", "peter": "pete", "philip": "phil", "rebecca": "becky becca", "richard": "rick dick rich", "robert": "rob bob bobby robbie bert",
     "samuel": "sam sammy", "samantha": "sam", "stephen": "steve", "susannah": "sue susie suzie susan", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky tori vicki", "wilhelmina": "mina willa billie minna", "william": "will bill billy willy liam",
 }
-#: First names without short forms; any first name seen before a surname works, these only settle the order of two words.
-OTHER_GIVEN = {"hadiza", "ingrid", "kenji", "marta", "olav", "priya", "rui", "soren", "yusuf", "zoe", "amelie", "jurgen"}
 #: Words organisations' names are shortened by.
 LEGAL_FORMS = {
     "intl": "international", "int'l": "international", "eng": "engineering", "engg": "engineering", "dept": "department", "dep": "department", "bd": "board", "assoc": "association", "assn": "association", "off": "office", "ofc": "office", "co": "company", "corp": "corporation", "ltd": "limited", "inc": "incorporated",
@@ -52,7 +50,7 @@ _FORMAL: dict[str, list[str]] = {}
 for _given, _short in NICKNAMES.items():
     for _x in _short.split():
         _FORMAL.setdefault(_x, []).append(_given)
-GIVEN = set(NICKNAMES) | set(_FORMAL) | OTHER_GIVEN
+GIVEN = set(NICKNAMES) | set(_FORMAL)
 _SPECIAL = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i", "’": "'"})
 
 

@@ -99,3 +99,9 @@ def test_copies_edited_every_eight_words(spark):
         if run >= 12 or score / (2 * len(item)) >= 0.4:
             want[k] = (score, run)
     assert len(want) >= 11 and max(run for _, run in want.values()) < 12 and got == want
+
+
+def test_scores_of_very_long_items():
+    words = np.arange(1, 11_001, dtype=np.int32)
+    score, run = L.align([words, words[:5]], [words, words[2:9]])
+    assert score.tolist() == [22_000, 6] and run.tolist() == [11_000, 3]

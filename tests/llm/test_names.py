@@ -1,3 +1,5 @@
+import random
+
 from redloom.llm import names as N
 
 
@@ -75,3 +77,19 @@ def test_rare_misspelling_in_two_ways_links(spark):
     assert groups(spark, right + wrong) == sorted([sorted(right), sorted(wrong)])
     other = ["José Tibiskrous", "Tibiskrous, José"]
     assert groups(spark, right * 6 + wrong * 2 + other * 10) == sorted([sorted(right), sorted(wrong), sorted(other)])
+
+
+def test_recall_on_names_of_no_list(spark):
+    """Order, case, accents, initials and one slip for names that are in no table."""
+    rng = random.Random(4)
+    given = ["Quentin", "Oluwaseun", "Thandiwe", "Bartholomew", "Xiaoming", "Ngozi", "Ravindra", "Zsófia", "Ulrike", "Pascal"]
+    parts = ["bor", "dal", "fen", "gar", "hol", "kes", "lum", "mar", "nor", "pel", "quin", "ros", "sten", "tor", "vas", "wick"]
+    rows, true = [], set()
+    for i in range(120):
+        g, f = given[i % 10], "".join(rng.sample(parts, 3)).capitalize()
+        slip = f[:4] + f[5] + f[4] + f[6:]
+        forms = sorted({f"{g} {f}", f"{f}, {g}", f"{g.upper()} {f.upper()}", f"{g[0]}. {f}", f"{g} {slip}"})
+        rows += [(x,) for x in forms for _ in range(1 if slip in x else 3)]
+        true |= {(a, b) for a in forms for b in forms if a < b}
+    got = {tuple(r) for r in N.name_pairs(N.link_names(spark.createDataFrame(rows, "author string"), "author")).collect()}
+    assert len(got & true) >= 0.9 * len(true) and len(got - true) <= 0.02 * len(got)
