@@ -36,9 +36,15 @@ def node_spans(spark: SparkSession, d: str) -> DataFrame:
     return n.select("document_id", F.col("s.part_id").alias("part_id"), "node_key", "node_ord", "kind", "depth", F.col("s.start_off").alias("start_off"), F.col("s.end_off").alias("end_off"))
 
 
-def pieces(spark: SparkSession, d: str) -> DataFrame:
+def comment_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each comment as a part of its own."""
+    c = comments(spark, d).where("text is not null")
+    return c.select("document_id", F.concat(F.lit("comment:"), F.col("comment_key").cast("string")).alias("part_id"), F.col("comment_key").alias("stream_key"), "text")
+
+
+def pieces(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
     """Every line of every stream cut in three, with stacks made from the stream's key: inserted, deleted, moved and plain text."""
-    s = streams(spark, d).select("document_id", "part_id", "stream_key", F.posexplode(T.segments(F.col("text"))).alias("seg_ix", "x")).select("document_id", "part_id", "stream_key", "seg_ix", F.col("x.line").alias("line"))
+    s = (streams(spark, d) if of is None else of).select("document_id", "part_id", "stream_key", F.posexplode(T.segments(F.col("text"))).alias("seg_ix", "x")).select("document_id", "part_id", "stream_key", "seg_ix", F.col("x.line").alias("line"))
     k = s.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
     n, m = F.length("line"), F.pmod(F.col("stream_key") + F.col("seg_ix") + F.col("k"), F.lit(7))
     lo, hi = F.floor(n * F.col("k") / 3).cast("int"), F.floor(n * (F.col("k") + 1) / 3).cast("int")
@@ -50,8 +56,8 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The same rules as SQL.
-PIECES_SQL = r"""
-st AS (SELECT DISTINCT document_id, part_id, stream_key, text FROM streams WHERE text IS NOT NULL),
+STREAMS_SQL = "st AS (SELECT DISTINCT document_id, part_id, stream_key, text FROM streams WHERE text IS NOT NULL),"
+PIECES_SQL = STREAMS_SQL + r"""
 ln AS (SELECT document_id, part_id, stream_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_ix FROM st),
 pc0 AS (SELECT *, (stream_key + seg_ix + k) % 7 AS m, length(line) * k // 3 AS lo, length(line) * (k + 1) // 3 AS hi FROM ln, (SELECT unnest([0, 1, 2, 3]) AS k)),
 pc AS (SELECT document_id, part_id, seg_ix * 4 + k AS piece_ord, CASE WHEN k = 3 THEN chr(10) ELSE substr(line, lo + 1, hi - lo) END AS text,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from redloom.functions import text as T
 from redloom.functions.stem import stem_tokens
 from redloom.operators import chunks as C
-from redloom.operators import evals, retrieval, revisions, structure, summaries, terms, views
+from redloom.operators import evals, hierarchy, matching, retrieval, revisions, structure, summaries, terms, views
 from redloom.plans import adapters as A
 from redloom.session import staged, table
 from redloom.sources import docx, writer
@@ -64,9 +64,10 @@ def normal_forms(spark: SparkSession, d: str) -> DataFrame:
 _FORMS = f"""
 fm0 AS (SELECT group_key, canonical AS form, 1 AS rank FROM term_groups UNION ALL SELECT group_key, unnest(synonyms), 2 FROM term_groups),
 fm AS (SELECT DISTINCT group_key, rank, 'joined' AS reading, {_joined('form')} AS tokens FROM fm0 WHERE form IS NOT NULL UNION SELECT DISTINCT group_key, rank, 'split', {_split('form')} FROM fm0 WHERE form IS NOT NULL)"""
-_TOKENS = f"""
+_LN = """
 st AS (SELECT DISTINCT document_id, part_id, stream_key, text FROM streams WHERE text IS NOT NULL),
-ln AS (SELECT document_id, part_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_ix FROM st),
+ln AS (SELECT document_id, part_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_ix FROM st)"""
+_MATCH = f"""
 ms AS (SELECT document_id, part_id, seg_ix, 'joined' AS reading, unnest(l) AS m, generate_subscripts(l, 1) AS ix FROM (SELECT *, regexp_extract_all(line, '[^{_T}]*[{_T}][{_T}{_H}]*') AS l FROM ln)
   UNION ALL SELECT document_id, part_id, seg_ix, 'split', unnest(l), generate_subscripts(l, 1) FROM (SELECT *, regexp_extract_all(line, '[^{_T}]*[{_T}]+') AS l FROM ln)),
 tk0 AS (SELECT *, regexp_replace(m, '^[^{_T}]+', '') AS own, sum(length(m)) OVER (PARTITION BY document_id, part_id, seg_ix, reading ORDER BY ix) AS e FROM ms),
@@ -76,6 +77,7 @@ cand AS (SELECT a.document_id, a.part_id, a.seg_ix, f.group_key, a.s[a.i] AS s,
 ranked AS (SELECT document_id, part_id, seg_ix, group_key, list(struct_pack(s := s, e := e, rank := rank) ORDER BY s - e, s, rank) AS l FROM cand GROUP BY ALL),
 kept AS (SELECT document_id, part_id, seg_ix, group_key, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: t.s < x.e AND t.e > x.s)) = 0 THEN list_append(acc, x) ELSE acc END, CAST([] AS STRUCT(s HUGEINT, e HUGEINT, rank INTEGER)[]))) AS h FROM ranked),
 hits AS (SELECT document_id, part_id, seg_ix, group_key, CAST(h.s AS INTEGER) AS start, CAST(h.e AS INTEGER) AS stop, CASE h.rank WHEN 1 THEN 'exact' ELSE 'synonym' END AS match_type FROM kept)"""
+_TOKENS = f"{_LN}, {_MATCH}"
 
 
 def _plain_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +176,41 @@ def view_offsets(spark: SparkSession, d: str) -> DataFrame:
     return views.view_offsets(points, views.project(s, "original")).select("document_id", "part_id", F.col("offset").alias("union_offset"), "view_offset")
 
 
+# --- documents
+
+
+_LINES = "WITH st AS (SELECT DISTINCT document_id, part_id, stream_key, text FROM streams WHERE text IS NOT NULL UNION ALL SELECT DISTINCT document_id, 'comment:' || comment_key, comment_key, text FROM comment_labels WHERE text IS NOT NULL)," + A.PIECES_SQL.removeprefix(A.STREAMS_SQL)
+
+
+@query(f"""
+{_LINES},
+lf AS (SELECT document_id, s.part_id AS part_id, 'node:' || node_key AS owner, CAST(leaf_ix AS BIGINT) AS leaf_ix, s.start_off AS a, s.end_off AS b FROM (SELECT document_id, node_key, unnest(spans) AS s, generate_subscripts(spans, 1) - 1 AS leaf_ix FROM (SELECT DISTINCT ON (node_key) * FROM nodes) WHERE kind IN ('para', 'heading', 'list_item'))
+  UNION ALL SELECT document_id, part_id, part_id, 0, 0, length(text) + 1 FROM st WHERE starts_with(part_id, 'comment:')),
+lt AS (SELECT l.document_id, l.part_id, l.owner, l.leaf_ix, p.view, min(p.view_start + greatest(l.a - p.start_off, 0)) AS vb, string_agg(substr(p.text, CAST(greatest(l.a, p.start_off) - p.start_off + 1 AS BIGINT), CAST(least(l.b, p.end_off) - greatest(l.a, p.start_off) AS BIGINT)), '' ORDER BY p.span_ord) AS text
+  FROM lf l JOIN pj p ON p.document_id = l.document_id AND p.part_id = l.part_id AND p.view <> 'superseded' AND p.start_off < l.b AND l.a < p.end_off AND l.a < l.b GROUP BY ALL),
+ls AS (SELECT * EXCLUDE (text), owner || '|' || leaf_ix || '|' || part_id || '|' || view AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_ix FROM lt),
+lb AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY seg_ix) - length(line) - 1 AS base FROM ls),
+tl AS (SELECT id AS document_id, '-' AS part_id, seg_ix, line FROM lb), {_FORMS}, {_MATCH.replace("FROM ln)", "FROM tl)")},
+hv AS (SELECT lb.document_id, lb.part_id, lb.owner, lb.leaf_ix, lb.view, h.group_key, h.match_type, vb + base + h.start AS vs, vb + base + h.stop AS ve FROM hits h JOIN lb ON lb.id = h.document_id AND lb.seg_ix = h.seg_ix),
+cl AS (SELECT h.*, p.start_off + greatest(h.vs, p.view_start) - p.view_start AS u0, p.start_off + least(h.ve, p.view_end) - p.view_start AS u1 FROM hv h JOIN pj p ON p.document_id = h.document_id AND p.part_id = h.part_id AND p.view = h.view AND h.vs < p.view_end AND p.view_start < h.ve),
+rn AS (SELECT *, CASE WHEN u0 = lag(u1) OVER w THEN 0 ELSE 1 END AS new FROM cl WINDOW w AS (PARTITION BY document_id, part_id, owner, leaf_ix, view, group_key, match_type, vs, ve ORDER BY u0)),
+gr AS (SELECT *, sum(new) OVER (PARTITION BY document_id, part_id, owner, leaf_ix, view, group_key, match_type, vs, ve ORDER BY u0) AS g FROM rn),
+pc1 AS (SELECT document_id, part_id, owner, leaf_ix, view, group_key, match_type, vs, ve, g, min(u0) AS u0, max(u1) AS u1 FROM gr GROUP BY ALL),
+us AS (SELECT document_id, part_id, owner, leaf_ix, view, group_key, match_type, vs, ve, string_agg(CAST(u0 AS BIGINT) || '-' || CAST(u1 AS BIGINT), ',' ORDER BY u0) AS spans FROM pc1 GROUP BY ALL)
+SELECT document_id, part_id, owner, group_key, spans, CASE WHEN starts_with(owner, 'comment:') THEN '' ELSE string_agg(DISTINCT view, ',' ORDER BY view) END AS present_in, min(match_type) AS match_type FROM us GROUP BY document_id, part_id, owner, group_key, spans""")
+def document_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every group in every paragraph-like node in both views, and in every comment."""
+    forms = _plain_forms(spark, d)
+    n = A.nodes(spark, d).where(F.col("kind").isin(*matching.UNITS)).select("document_id", F.concat(F.lit("node:"), F.col("node_key").cast("string")).alias("owner"), "node_ord", F.posexplode("spans").alias("leaf_ix", "s"))
+    leaves = n.select("document_id", F.col("s.part_id").alias("part_id"), "owner", "node_ord", "leaf_ix", F.col("s.start_off").alias("start_off"), F.col("s.end_off").alias("end_off"))
+    bodies = A.comment_streams(spark, d)
+    of = bodies.select("document_id", "part_id", F.col("part_id").alias("owner"), F.lit(0).alias("leaf_ix"), F.lit(0).alias("start_off"), (F.length("text") + 1).alias("end_off"))
+    show = lambda h: h.select("document_id", "part_id", "owner", "group_key", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["union_start"].cast("string"), s["union_end"].cast("string"))), ",").alias("spans"), F.array_join("present_in", ",").alias("present_in"), "match_type")
+    body = matching.document_hits(leaves, views.build_spans(A.pieces(spark, d)), forms)
+    said = matching.comment_hits(of, views.build_spans(A.pieces(spark, d, bodies)), forms)
+    return show(body).unionByName(show(said))
+
+
 # --- packages: written from the tables, read back by the package reader
 
 
