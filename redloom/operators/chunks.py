@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redloom.functions import canon
+from redloom.operators import hierarchy, structure
+from redloom.session import staged
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,8 @@ def rule_union(decisions: DataFrame, keys: list[str], rules: str = "fired_rules"
 
 
 def merge_small(sections: DataFrame, min_size: int) -> DataFrame:
-    """Which sections dissolve into their parent, deepest first: ``sections(document_id, section_ix, parent_ix, own_size, has_list_run, n_blocks)``.
+    """Which sections dissolve into their parent, deepest first: ``sections(document_id, section_ix, parent_ix, own_size, has_list_run, n_blocks)``,
+    with ``heading_size`` where the heading of a dissolved section leads what it held.
 
     A section dissolves when it and what dissolved into it is below ``min_size``, it has no list run, and its parent has
     blocks of its own; sections at the top never do.  One ordered fold over a document's sections; a document's sections
@@ -118,12 +121,13 @@ def merge_small(sections: DataFrame, min_size: int) -> DataFrame:
         pdf = pdf.sort_values("section_ix")
         own = {s: [p, n, bool(run_), b] for s, p, n, run_, b in zip(pdf.section_ix, pdf.parent_ix, pdf.own_size, pdf.has_list_run, pdf.n_blocks)}
         into = {}
+        lead = dict(zip(pdf.section_ix, pdf.heading_size)) if "heading_size" in pdf else {}
         for s in sorted(own, reverse=True):  # children come after their parents in pre-order
             parent, size, has_run, _ = own[s]
             if pd.isna(parent) or has_run or size >= min_size or own[int(parent)][3] == 0:
                 continue
             into[s] = int(parent)
-            own[int(parent)][1] += 1 + size
+            own[int(parent)][1] += 1 + size + (lead[s] + (size > 0) if s in lead else 0)
         target = []
         for s in pdf.section_ix:
             while s in into:
@@ -140,3 +144,94 @@ def churn(old: DataFrame, new: DataFrame, column: str = "content_hash") -> DataF
     counted = old.select(column, F.lit(-1).alias("n")).unionByName(new.select(column, F.lit(1).alias("n"))).groupBy(column).agg(F.sum("n").alias("n")).where("n <> 0")
     change = F.when(F.col("n") < 0, "gone").otherwise("new")
     return counted.select(column, change.alias("change"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("__i")).drop("__i")
+
+
+#: Kinds of nodes that are packed, and kinds that hold text themselves.
+BLOCKS = ("para", "list_item", "table")
+LEAVES = ("para", "heading", "list_item")
+
+
+def blocks_of(nodes: DataFrame, forest: DataFrame, texts: DataFrame) -> DataFrame:
+    """The blocks of a document in one view: (document_id, node_key, node_ord, kind, text, leaf_keys).
+
+    ``nodes(document_id, node_key, node_ord, kind)``, ``forest`` their hierarchy by document, ``texts(document_id, node_key,
+    text)`` what the view keeps of each leaf.  Containers are walked through; a paragraph inside a table is the table's.  A
+    block's text is its leaves' texts joined by a line end, a leaf without text being an empty line; what hangs on a loop
+    is reached from no top and is no block.
+    """
+    n = nodes.select(F.col("document_id").alias("scope"), "node_key", "node_ord", "kind")
+    kinds = n.where(F.col("kind").isin(*BLOCKS))
+    sound = forest.where("depth >= 0").select("scope", "node_key")
+    within = staged(hierarchy.ancestors_among(forest, kinds).groupBy("scope", "node_key").agg(F.min_by("ancestor_key", "ancestor_depth").alias("block_key")), "in-blocks")
+    own = kinds.join(sound, ["scope", "node_key"], "left_semi").join(within, ["scope", "node_key"], "left_anti")
+    leaves = n.where(F.col("kind").isin(*LEAVES)).join(sound, ["scope", "node_key"], "left_semi").join(within, ["scope", "node_key"], "left")
+    said = texts.select(F.col("document_id").alias("scope"), "node_key", "text")
+    held = leaves.withColumn("block_key", F.coalesce("block_key", F.when(F.col("kind") != "heading", F.col("node_key")))).where("block_key is not null").join(said, ["scope", "node_key"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("node_ord", "node_key", F.coalesce("text", F.lit("")).alias("text"))))
+    joined = held.groupBy("scope", F.col("block_key").alias("node_key")).agg(parts.alias("p"))
+    shaped = joined.select("scope", "node_key", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.transform("p", lambda x: x["node_key"]).alias("leaf_keys"))
+    # a table without any leaf has no text
+    out = own.join(shaped, ["scope", "node_key"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("leaf_keys", F.coalesce("leaf_keys", F.array().cast("array<bigint>")))
+    return out.withColumnRenamed("scope", "document_id").select("document_id", "node_key", "node_ord", "kind", "text", "leaf_keys")
+
+
+def chunk_blocks(blocks: DataFrame, headings: DataFrame, view: str, params: ChunkParams = ChunkParams(), rows: DataFrame | None = None) -> DataFrame:
+    """Chunks along the outline: (document_id, view_id, chunk_ord, section_ix, section_path, node_keys, text, content_hash, occurrence_index, chunk_id, size_cp).
+
+    ``blocks`` of :func:`blocks_of`, ``headings(document_id, node_key, node_ord, title, stated_level)``.  A block belongs to
+    the section of the last heading before it; a small section dissolves into its parent (:func:`merge_small`), its heading
+    leading what it held; a section's blocks are packed under the limit.  ``rows(document_id, node_key, row_ix, text)`` are
+    the rows of tables: a table over the limit is cut in groups of rows that repeat the first.
+    """
+    doc = "document_id"
+    sections = staged(structure.build_sections(headings), "sections")
+    titled = headings.join(sections.select(doc, "node_ord", "pre_order"), [doc, "node_ord"]).select(doc, "node_key", "node_ord", F.lit("heading").alias("kind"), F.col("title").alias("text"), F.array("node_key").alias("leaf_keys"), F.col("pre_order").alias("section_ix"))
+    placed = staged(structure.assign_sections(blocks, sections).select(doc, "node_key", "node_ord", "kind", "text", "leaf_keys", "section_ix"), "placed-blocks")
+    # sizes and list runs of each section's own blocks
+    w = Window.partitionBy(doc, "section_ix").orderBy("node_ord")
+    item = F.col("kind") == "list_item"
+    runs = placed.where("section_ix is not null").withColumn("__run", F.sum((~item).cast("int")).over(w))
+    run = runs.where(item).groupBy(doc, "section_ix", "__run").count().groupBy(doc, "section_ix").agg((F.max("count") >= params.list_run).alias("has_list_run"))
+    size = placed.groupBy(doc, "section_ix").agg((F.sum(F.length("text") + 1) - 1).cast("long").alias("own_size"), F.count(F.lit(1)).alias("n_blocks"))
+    own = sections.select(doc, F.col("pre_order").alias("section_ix"), "parent_ix", F.length("title").alias("heading_size")).join(size, [doc, "section_ix"], "left").join(run, [doc, "section_ix"], "left")
+    own = own.fillna({"own_size": 0, "n_blocks": 0, "has_list_run": False, "heading_size": 0})
+    into = staged(merge_small(own, params.min_size), "merged-sections")
+    target = F.coalesce("merged_into", F.lit(-1))
+    stream = placed.join(into, [doc, "section_ix"], "left").withColumn("group", target)
+    led = titled.join(into.where("merged_into <> section_ix"), [doc, "section_ix"]).withColumn("group", target)
+    stream = staged(stream.unionByName(led).select(doc, "group", "node_ord", "node_key", "kind", "text", "leaf_keys", F.length("text").alias("n"), (F.col("kind") == "heading").alias("is_heading"), (F.col("kind") == "list_item").alias("is_item")), "chunk-stream")
+    sizes = stream.select(doc, "group", "node_ord", "n", "is_heading", "is_item")
+    numbered = pack_blocks(sizes, [doc, "group"], "node_ord", "n", params.size_cap, "is_heading", "is_item", params.list_run).select(doc, "group", "node_ord", F.col("chunk_no").cast("int").alias("chunk_no"), F.lit(0).alias("part_no"))
+    packed = stream.join(numbered, [doc, "group", "node_ord"])
+    if rows is not None:
+        large = stream.where((F.col("kind") == "table") & (F.col("n") > params.size_cap)).select(doc, "node_key")
+        cut = split_table_rows(rows.join(large, [doc, "node_key"], "left_semi").withColumn("n", F.length("text")), [doc, "node_key"], "row_ix", "n", params.size_cap)
+        groups = cut.where(~F.col("is_header")).groupBy(doc, "node_key", "group_no").agg(F.array_sort(F.collect_list(F.struct("row_ix", "text"))).alias("r"))
+        head = cut.where("is_header").select(doc, "node_key", F.struct("row_ix", "text").alias("h"))
+        whole = head.join(groups, [doc, "node_key"], "left").select(doc, "node_key", F.coalesce("group_no", F.lit(0)).alias("__no"), F.concat(F.array("h"), F.coalesce("r", F.array().cast("array<struct<row_ix:int,text:string>>"))).alias("r"))
+        pieces = whole.select(doc, "node_key", "__no", F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("__text"))
+        packed = packed.join(pieces, [doc, "node_key"], "left").withColumns({"text": F.coalesce("__text", "text"), "part_no": F.coalesce("__no", "part_no")}).drop("__text", "__no")
+    parts = F.array_sort(F.collect_list(F.struct("node_ord", "text", "leaf_keys")))
+    made = packed.groupBy(doc, "group", "chunk_no", "part_no").agg(parts.alias("p"), F.min("node_ord").alias("first"))
+    made = made.select(doc, "group", F.struct("first", "part_no").alias("chunk_ord"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.flatten(F.transform("p", lambda x: x["leaf_keys"])).alias("node_keys"), F.lit(view).alias("view_id"))
+    paths = sections.select(doc, F.col("pre_order").alias("group"), "path")
+    out = identify(made).join(paths, [doc, "group"], "left")
+    return out.select(doc, "view_id", "chunk_ord", F.col("group").alias("section_ix"), F.coalesce("path", F.array().cast("array<string>")).alias("section_path"), "node_keys", "text", "content_hash", "occurrence_index", "chunk_id", F.length("text").alias("size_cp"))
+
+
+def heading_comment_chunks(comments: DataFrame, headings: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """(comment_key, chunk_id) of comments that begin in a heading: the first chunk of its section, or of the first section below that has one.
+
+    ``comments(document_id, comment_key, heading_key)``, ``headings(document_id, node_key, pre_order)``, ``sections(document_id,
+    pre_order, level)`` in pre-order; ``chunks`` of :func:`chunk_blocks`.  A section's own and lower sections are those up to
+    the next of its level or above.
+    """
+    doc = "document_id"
+    s = sections.select(doc, "pre_order", "level")
+    later = s.select(doc, F.col("pre_order").alias("q"), F.col("level").alias("lq"))
+    ends = s.join(later, doc).where("q > pre_order and lq <= level").groupBy(doc, "pre_order").agg(F.min("q").alias("stop"))
+    span = s.join(ends, [doc, "pre_order"], "left").select(doc, "pre_order", F.coalesce("stop", F.lit(2**31 - 1)).alias("stop"))
+    first = chunks.groupBy(doc, "section_ix").agg(F.min(F.struct("chunk_ord", "chunk_id")).alias("c"))
+    of = comments.join(headings.select(doc, F.col("node_key").alias("heading_key"), "pre_order"), [doc, "heading_key"]).join(span, [doc, "pre_order"])
+    met = of.join(first, doc).where("section_ix >= pre_order and section_ix < stop")
+    return met.groupBy(doc, "comment_key").agg(F.min_by("c", "section_ix").alias("c")).select(doc, "comment_key", "c.chunk_id")

@@ -182,3 +182,17 @@ def descendants(forest: DataFrame, of: DataFrame | None = None) -> DataFrame:
     a = a.select("scope", "root_key", "node_key", (F.col("pre") + 1).alias("lo"), F.col("pre_end").alias("hi"))
     d = forest.where("depth > 0").select("scope", "root_key", F.col("node_key").alias("descendant_key"), "pre")
     return _inside(d, a, _most(forest)).select("scope", "node_key", "descendant_key")
+
+
+def ancestors_among(forest: DataFrame, some: DataFrame) -> DataFrame:
+    """(scope, node_key, ancestor_key, ancestor_depth): the proper ancestors of each record that are in ``some(scope, node_key)``, by nested-set ranges."""
+    a = forest.where("depth >= 0 and pre_end > pre + 1").join(some.select("scope", "node_key").distinct(), ["scope", "node_key"], "left_semi")
+    a = a.select("scope", "root_key", F.col("node_key").alias("ancestor_key"), F.col("depth").alias("ancestor_depth"), (F.col("pre") + 1).alias("lo"), F.col("pre_end").alias("hi"))
+    d = forest.where("depth > 0").select("scope", "root_key", "node_key", "pre")
+    return _inside(d, a, _most(forest)).select("scope", "node_key", "ancestor_key", "ancestor_depth")
+
+
+def ancestor_of_kind(forest: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
+    """(scope, node_key, ancestor_key): the nearest proper ancestor of that kind, of ``kinds(scope, node_key, kind)``; records without one have no row."""
+    met = ancestors_among(forest, kinds.where(F.col("kind") == kind))
+    return met.groupBy("scope", "node_key").agg(F.max_by("ancestor_key", "ancestor_depth").alias("ancestor_key"))

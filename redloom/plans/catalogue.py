@@ -380,6 +380,95 @@ def list_run_segments(spark: SparkSession, d: str) -> DataFrame:
     return structure.list_runs(n).select("document_id", "parent", "first_ord", "last_ord", "n_items")
 
 
+# --- blocks and chunks of documents
+
+
+BODY = "officeDocument:0"
+_TREE = f"""
+n AS (SELECT DISTINCT ON (node_key) * FROM nodes),
+kd AS (SELECT document_id, node_key AS pk, unnest(child_ids) AS nm FROM n),
+par AS (SELECT n.node_key AS k, min(kd.pk) AS pk FROM kd JOIN n ON n.document_id = kd.document_id AND n.node_id = kd.nm GROUP BY ALL),
+walk AS (
+  SELECT n.document_id, n.node_key AS k, CASE WHEN kind IN ('para', 'list_item', 'table') THEN n.node_key END AS blk FROM n LEFT JOIN par ON par.k = n.node_key WHERE par.pk IS NULL
+  UNION ALL SELECT w.document_id, n.node_key, coalesce(w.blk, CASE WHEN n.kind IN ('para', 'list_item', 'table') THEN n.node_key END) FROM walk w JOIN par ON par.pk = w.k JOIN n ON n.node_key = par.k),
+lfs AS (SELECT document_id, node_key AS k, s.part_id AS part_id, s.start_off AS a, s.end_off AS b FROM (SELECT document_id, node_key, spans[1] AS s FROM n WHERE kind IN ('para', 'heading', 'list_item') AND len(spans) > 0)),
+lts AS (SELECT l.k, string_agg(substr(p.text, CAST(greatest(l.a, p.start_off) - p.start_off + 1 AS BIGINT), CAST(least(l.b, p.end_off) - greatest(l.a, p.start_off) AS BIGINT)), '' ORDER BY p.span_ord) AS text FROM lfs l JOIN pj p ON p.document_id = l.document_id AND p.part_id = l.part_id AND p.view = 'accepted' AND p.start_off < l.b AND l.a < p.end_off AND l.a < l.b GROUP BY ALL),
+bl AS (SELECT w.blk, string_agg(coalesce(lts.text, ''), chr(10) ORDER BY n.node_ord, n.node_key) AS text, string_agg(CAST(w.k AS VARCHAR), ',' ORDER BY n.node_ord, n.node_key) AS leaf_keys FROM walk w JOIN n ON n.node_key = w.k AND n.kind IN ('para', 'heading', 'list_item') LEFT JOIN lts ON lts.k = w.k WHERE w.blk IS NOT NULL GROUP BY ALL),
+blocks_ AS (SELECT n.document_id, n.node_key, n.node_ord, n.kind, coalesce(bl.text, '') AS text, coalesce(bl.leaf_keys, '') AS leaf_keys FROM walk w JOIN n ON n.node_key = w.k LEFT JOIN bl ON bl.blk = w.k WHERE w.blk = w.k)"""
+
+
+def _leaf_texts(spark: SparkSession, d: str, view: str) -> DataFrame:
+    """What a view keeps of the first span of each leaf: (document_id, node_key, text)."""
+    n = A.nodes(spark, d).where(F.col("kind").isin(*C.LEAVES)).where("size(spans) > 0").select("document_id", F.col("node_key").alias("owner"), F.col("spans")[0].alias("s"))
+    leaves = n.select("document_id", F.col("s.part_id").alias("part_id"), "owner", F.lit(0).alias("leaf_ix"), F.col("s.start_off").alias("start_off"), F.col("s.end_off").alias("end_off"))
+    return matching.leaf_texts(leaves, matching.projections(views.build_spans(A.pieces(spark, d)), (view,))).select("document_id", F.col("owner").alias("node_key"), "text")
+
+
+def _node_forest(spark: SparkSession, d: str) -> DataFrame:
+    n = A.nodes(spark, d)
+    return staged(hierarchy.build_hierarchy(hierarchy.child_links(n, "document_id", "node_key", "node_id", "child_ids")), "node-forest")
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return staged(C.blocks_of(A.nodes(spark, d), _node_forest(spark, d), _leaf_texts(spark, d, "accepted")), "blocks")
+
+
+@query(f"WITH RECURSIVE {A.PIECES_SQL}, {_TREE} SELECT document_id, node_key, kind, text, leaf_keys FROM blocks_")
+def blocks_of_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("document_id", "node_key", "kind", "text", F.array_join(F.transform("leaf_keys", lambda k: k.cast("string")), ",").alias("leaf_keys"))
+
+
+@query(f"""
+WITH RECURSIVE {A.PIECES_SQL}, {_TREE},
+kinds_ AS (SELECT k, pk FROM par), up AS (SELECT k, pk AS a, 1 AS steps, [k, pk] AS seen FROM kinds_ WHERE k <> pk UNION ALL SELECT u.k, p.pk, u.steps + 1, list_append(u.seen, p.pk) FROM up u JOIN kinds_ p ON p.k = u.a WHERE NOT list_contains(u.seen, p.pk)),
+ok AS (SELECT DISTINCT k FROM walk)
+SELECT u.k AS node_key, arg_min(u.a, u.steps) AS table_key FROM up u JOIN ok ON ok.k = u.k JOIN n ON n.node_key = u.a AND n.kind = 'table' GROUP BY u.k""")
+def nearest_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest table around each node."""
+    kinds = A.nodes(spark, d).select(F.col("document_id").alias("scope"), "node_key", "kind")
+    return hierarchy.ancestor_of_kind(_node_forest(spark, d), kinds, "table").select("node_key", F.col("ancestor_key").alias("table_key"))
+
+
+def _chunks_of_nodes(spark: SparkSession, d: str, params: C.ChunkParams) -> DataFrame:
+    n = A.nodes(spark, d).where(F.col("part_id") == BODY)
+    b = _blocks(spark, d).join(n.select("node_key"), "node_key", "left_semi")
+    texts = _leaf_texts(spark, d, "accepted")
+    h = n.where("kind = 'heading'").join(texts, ["document_id", "node_key"], "left").select("document_id", "node_key", "node_ord", F.coalesce("text", F.lit("")).alias("title"), structure.section_level(F.col("outline_level"), F.col("style")).alias("stated_level"))
+    return C.chunk_blocks(b, h, "accepted", params)
+
+
+@query(f"""
+WITH RECURSIVE {A.PIECES_SQL}, {_TREE},
+h0 AS (SELECT n.document_id, n.node_ord, coalesce(lts.text, '') AS title, CASE WHEN outline_level BETWEEN 0 AND 8 THEN outline_level + 1 WHEN lower(style) = 'title' THEN 0 ELSE TRY_CAST(regexp_extract(style, '(?i)^heading\\s*([1-9])$', 1) AS INTEGER) END AS lvl FROM n LEFT JOIN lts ON lts.k = n.node_key WHERE kind = 'heading' AND part_id = '{BODY}'),
+h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY node_ord, title, lvl) - 1 AS ix FROM h0),
+w AS (
+  SELECT document_id, CAST(-1 AS BIGINT) AS ix, CAST([] AS STRUCT(lv INTEGER, stated BOOLEAN, title VARCHAR)[]) AS st FROM (SELECT DISTINCT document_id FROM h)
+  UNION ALL
+  SELECT document_id, ix, list_append(rest, struct_pack(lv := level, stated := stated, title := title)) FROM (
+    SELECT w.document_id, h.ix, h.title, lv.level, h.lvl IS NOT NULL AS stated, list_filter(w.st, lambda x: x.lv < lv.level) AS rest FROM w JOIN h ON h.document_id = w.document_id AND h.ix = w.ix + 1, LATERAL (SELECT CAST(coalesce(h.lvl, list_filter(w.st, lambda x: x.stated)[-1].lv + 1, 1) AS INTEGER) AS level) lv)),
+sec AS (SELECT w.document_id, w.ix, h.node_ord, array_to_string(list_transform(st, lambda x: x.title), '/') AS path FROM w JOIN h ON h.document_id = w.document_id AND h.ix = w.ix),
+bs AS (SELECT b.*, coalesce((SELECT max(s.ix) FROM sec s WHERE s.document_id = b.document_id AND s.node_ord <= b.node_ord), -1) AS g FROM blocks_ b JOIN n USING (node_key) WHERE n.part_id = '{BODY}'),
+isl AS (SELECT *, row_number() OVER (PARTITION BY document_id, g ORDER BY node_ord) - row_number() OVER (PARTITION BY document_id, g, kind = 'list_item' ORDER BY node_ord) AS i FROM bs),
+isn AS (SELECT *, kind = 'list_item' AND count(*) OVER (PARTITION BY document_id, g, kind = 'list_item', i) >= 2 AS inrun, i AS run FROM isl),
+sg AS (SELECT *, CASE WHEN inrun THEN run ELSE -1 END AS tag FROM isn),
+sg2 AS (SELECT *, CASE WHEN lag(tag) OVER q IS DISTINCT FROM tag OR lag(inrun) OVER q IS DISTINCT FROM inrun THEN 1 ELSE 0 END AS new, row_number() OVER q AS r FROM sg WINDOW q AS (PARTITION BY document_id, g ORDER BY node_ord)),
+f AS (SELECT document_id, g, r, 0 AS no, length(text) AS fill FROM sg2 WHERE r = 1
+  UNION ALL SELECT s.document_id, s.g, s.r, CASE WHEN s.new = 1 OR f.fill + 1 + length(s.text) > 300 THEN f.no + 1 ELSE f.no END, CASE WHEN s.new = 1 OR f.fill + 1 + length(s.text) > 300 THEN length(s.text) ELSE f.fill + 1 + length(s.text) END FROM f JOIN sg2 s ON s.document_id = f.document_id AND s.g = f.g AND s.r = f.r + 1)
+SELECT s.document_id, coalesce(any_value(sec.path), '') AS section_path, string_agg(s.text, chr(10) ORDER BY s.node_ord) AS text, min(s.node_ord) AS first_ord, string_agg(s.leaf_keys, ',' ORDER BY s.node_ord) AS node_keys FROM sg2 s JOIN f ON f.document_id = s.document_id AND f.g = s.g AND f.r = s.r LEFT JOIN sec ON sec.document_id = s.document_id AND sec.ix = s.g GROUP BY s.document_id, s.g, f.no""")
+def chunks_of_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """From nodes and streams to chunks of at most 300 code points along the outline, list runs apart."""
+    c = _chunks_of_nodes(spark, d, C.ChunkParams(size_cap=300, min_size=0))
+    keys = F.array_join(F.transform("node_keys", lambda k: k.cast("string")), ",")
+    return c.select("document_id", F.array_join("section_path", "/").alias("section_path"), "text", F.col("chunk_ord.first").alias("first_ord"), keys.alias("node_keys"))
+
+
+@query()
+def chunks_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same with small sections dissolved into their parents and the default sizes."""
+    c = _chunks_of_nodes(spark, d, C.ChunkParams())
+    return c.select("document_id", F.array_join("section_path", "/").alias("section_path"), "text", F.col("chunk_ord.first").alias("first_ord"), "content_hash", "occurrence_index", "chunk_id", "size_cp")
+
+
 # --- chunks
 
 
