@@ -142,7 +142,7 @@ def named_parent_links(rows: DataFrame, scope: str, key: str, name: str, parent:
     return linked.unionByName(own.where("__up is null").select("scope", "node_key", F.lit(None).cast("long").alias("parent_key")))
 
 
-def _inside(points: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
+def inside(points: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
     """``points(scope, root_key, pre, ...)`` in ``ranges(scope, root_key, lo, hi, ...)``, each pair once; ``most`` is the highest end.
 
     A range is the fewest aligned blocks of 1, 16, 256, ... places, a point lies in one block of each size, and equal blocks
@@ -171,7 +171,7 @@ def paths(forest: DataFrame) -> DataFrame:
     """Every record of a sound tree with the keys from its root down to it, found by nested-set ranges; ``forest`` is read several times."""
     a = forest.where("depth >= 0").select("scope", "root_key", F.col("node_key").alias("a_key"), F.col("pre").alias("lo"), F.col("pre_end").alias("hi"), F.col("depth").alias("a_depth"))
     d = forest.where("depth >= 0").select("scope", "root_key", "node_key", "pre", "depth")
-    return _inside(d, a, _most(forest)).groupBy("scope", "root_key", "node_key", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("a_depth", "a_key"))), lambda x: x["a_key"]).alias("path"))
+    return inside(d, a, _most(forest)).groupBy("scope", "root_key", "node_key", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("a_depth", "a_key"))), lambda x: x["a_key"]).alias("path"))
 
 
 def descendants(forest: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -181,7 +181,7 @@ def descendants(forest: DataFrame, of: DataFrame | None = None) -> DataFrame:
         a = a.join(of.select("scope", "node_key").distinct(), ["scope", "node_key"], "left_semi")
     a = a.select("scope", "root_key", "node_key", (F.col("pre") + 1).alias("lo"), F.col("pre_end").alias("hi"))
     d = forest.where("depth > 0").select("scope", "root_key", F.col("node_key").alias("descendant_key"), "pre")
-    return _inside(d, a, _most(forest)).select("scope", "node_key", "descendant_key")
+    return inside(d, a, _most(forest)).select("scope", "node_key", "descendant_key")
 
 
 def ancestors_among(forest: DataFrame, some: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def ancestors_among(forest: DataFrame, some: DataFrame) -> DataFrame:
     a = forest.where("depth >= 0 and pre_end > pre + 1").join(some.select("scope", "node_key").distinct(), ["scope", "node_key"], "left_semi")
     a = a.select("scope", "root_key", F.col("node_key").alias("ancestor_key"), F.col("depth").alias("ancestor_depth"), (F.col("pre") + 1).alias("lo"), F.col("pre_end").alias("hi"))
     d = forest.where("depth > 0").select("scope", "root_key", "node_key", "pre")
-    return _inside(d, a, _most(forest)).select("scope", "node_key", "ancestor_key", "ancestor_depth")
+    return inside(d, a, _most(forest)).select("scope", "node_key", "ancestor_key", "ancestor_depth")
 
 
 def ancestor_of_kind(forest: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redloom.operators.hierarchy import inside
 from redloom.operators.skew import skew_join
 
 
@@ -174,9 +175,11 @@ def table_of(elements: DataFrame, *tags: str) -> DataFrame:
 
 
 def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """``inner`` rows with the number ``outer_ix`` of the nearest ``outer`` row around them, by interval containment."""
-    o = outer.select("owner_key", F.col("pre").alias("__pre"), F.col("post").alias("__post"), F.col("ix").alias("__ix"))
-    nearest = inner.join(o, "owner_key").where("__pre < pre and post < __post").groupBy("owner_key", "ix").agg(F.max_by("__ix", "__pre").alias("outer_ix"))
+    """``inner`` rows with the number ``outer_ix`` of the nearest ``outer`` row around them, by interval containment; ranges meet in aligned blocks, pairs of a tree are not formed."""
+    o = outer.select(F.col("owner_key").alias("scope"), F.lit(0).alias("root_key"), (F.col("pre") + 1).alias("lo"), F.col("post").alias("hi"), F.col("pre").alias("__pre"), F.col("ix").alias("__ix"))
+    i = inner.select(F.col("owner_key").alias("scope"), F.lit(0).alias("root_key"), "pre", F.col("ix").alias("__own"))
+    met = inside(i, o, outer.agg(F.max("post")).first()[0] or 1)
+    nearest = met.groupBy(F.col("scope").alias("owner_key"), F.col("__own").alias("ix")).agg(F.max_by("__ix", "__pre").alias("outer_ix"))
     return inner.join(nearest, ["owner_key", "ix"], "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from redloom.functions import text as T
 from redloom.operators import structure, terms, views
+from redloom.session import staged
 
 #: Sources in the order of their say.
 SOURCES = ("term", "text", "summary")
@@ -173,17 +174,37 @@ def get_chunk(chunks: DataFrame, chunk_id: str, view: str | None = None, documen
     return c
 
 
+def compare_pairs(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`compare` for ``pairs(a, b)`` of documents: (a, b, view_id, chunk_id, change); pairs without a common view have no row."""
+    c = chunks.groupBy("document_id", "view_id", "chunk_id").agg(F.min("context_hash").alias("h"))
+    p = pairs.select("a", "b").distinct()
+    key = ["a", "b", "view_id"]
+    x = p.join(c.withColumnRenamed("document_id", "a"), "a").select(*key, "chunk_id", F.col("h").alias("ha"), F.lit(True).alias("in_a"))
+    y = p.join(c.withColumnRenamed("document_id", "b"), "b").select(*key, "chunk_id", F.col("h").alias("hb"), F.lit(True).alias("in_b"))
+    shared = x.select(*key).distinct().join(y.select(*key).distinct(), key)
+    both = x.join(y, [*key, "chunk_id"], "full").join(shared, key, "left_semi")
+    change = F.when(F.col("in_b").isNull(), "only_a").when(F.col("in_a").isNull(), "only_b").when(~F.col("ha").eqNullSafe(F.col("hb")), "context_changed").otherwise("same")
+    return both.select(*key, "chunk_id", change.alias("change"))
+
+
+def next_pairs(ids: DataFrame, column: str) -> DataFrame:
+    """Each distinct value with the next greater one, as (a, b); no task holds more than a range of them."""
+    ranged = staged(ids.select(F.col(column).alias("a")).distinct().repartitionByRange("a").withColumn("__p", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy("__p").orderBy("a")
+    # one row a range: the first value of the next range that has any
+    first = ranged.groupBy("__p").agg(F.min("a").alias("f"))
+    following = first.select("__p", F.lead("f").over(Window.orderBy("__p")).alias("__next"))
+    return ranged.withColumn("b", F.lead("a").over(w)).join(F.broadcast(following), "__p").select("a", F.coalesce("b", "__next").alias("b")).where("b is not null")
+
+
 def compare(chunks: DataFrame, a: str, b: str) -> DataFrame:
     """Chunks of two documents in the views both have: (view_id, chunk_id, change) with only_a, only_b, context_changed or same."""
-    c = chunks.where(F.col("document_id").isin(a, b)).select("document_id", "view_id", "chunk_id", "context_hash").distinct()
-    views = c.groupBy("view_id").agg(F.count_distinct("document_id").alias("n")).where("n = 2").select("view_id")
+    c = chunks.where(F.col("document_id").isin(a, b))
+    pair = chunks.sparkSession.createDataFrame([(a, b)], "a string, b string")
+    views = c.groupBy("view_id").agg(F.count_distinct("document_id").alias("n")).where("n = 2")
     if a != b and views.isEmpty():
         raise ValueError("the two documents share no stored view")
-    x = c.where(F.col("document_id") == a).select("view_id", "chunk_id", F.col("context_hash").alias("ha"), F.lit(True).alias("in_a"))
-    y = c.where(F.col("document_id") == b).select("view_id", "chunk_id", F.col("context_hash").alias("hb"), F.lit(True).alias("in_b"))
-    both = x.join(y, ["view_id", "chunk_id"], "full").join(views, "view_id", "left_semi")
-    change = F.when(F.col("in_b").isNull(), "only_a").when(F.col("in_a").isNull(), "only_b").when(~F.col("ha").eqNullSafe(F.col("hb")), "context_changed").otherwise("same")
-    return both.select("view_id", "chunk_id", change.alias("change"))
+    return compare_pairs(c, pair).select("view_id", "chunk_id", "change")
 
 
 def chunk_groups_on_one_side(hits_a: DataFrame, hits_b: DataFrame) -> DataFrame:

@@ -298,13 +298,20 @@ def pending_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT ON (comment_key) * FROM comment_labels), p AS (SELECT document_id, lower(para_id) AS p, min(comment_key) AS k FROM c WHERE para_id IS NOT NULL GROUP BY ALL)
-SELECT c.comment_key, p.k AS parent_key, c.threading_status, c.resolved, c.anchor IS NULL AS unanchored, c.parent_id IS NOT NULL AND p.k IS NULL AS dangling FROM c LEFT JOIN p ON p.document_id = c.document_id AND p.p = lower(c.parent_id)""")
+WITH c AS (SELECT DISTINCT ON (comment_key) * FROM comment_labels),
+e AS (SELECT document_id, para_id, arg_min(comment_key, comment_key) AS first_key FROM c WHERE para_id IS NOT NULL AND threading_status = 'verified' GROUP BY ALL), x AS (SELECT e.document_id, e.para_id, c.parent_id, c.resolved FROM e JOIN c ON c.comment_key = e.first_key),
+there AS (SELECT DISTINCT document_id FROM e),
+q AS (SELECT c.comment_key, c.document_id, c.anchor IS NULL AS unanchored, CASE WHEN there.document_id IS NULL THEN 'absent' WHEN x.para_id IS NOT NULL THEN 'verified' ELSE 'unknown' END AS threading_status, x.parent_id, x.resolved FROM c LEFT JOIN there ON there.document_id = c.document_id LEFT JOIN x ON x.document_id = c.document_id AND x.para_id = c.para_id)
+SELECT comment_key, threading_status, parent_id, resolved, unanchored, parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.document_id = q.document_id AND lower(c.para_id) = lower(q.parent_id)) AS dangling FROM q""")
 def comment_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Comments put together again from bodies, ranges and extended rows."""
     c = A.comments(spark, d)
-    p = c.where("para_id is not null").groupBy("document_id", F.lower("para_id").alias("__p")).agg(F.min("comment_key").alias("parent_key"))
-    j = c.withColumn("__p", F.lower("parent_id")).join(p, ["document_id", "__p"], "left")
-    return j.select("comment_key", "parent_key", "threading_status", "resolved", F.col("anchor").isNull().alias("unanchored"), (F.col("parent_id").isNotNull() & F.col("parent_key").isNull()).alias("dangling"))
+    bodies = c.select("document_id", F.col("comment_key").alias("comment_id"), "para_id", "text")
+    ranges = c.where("anchor is not null").select("document_id", F.col("comment_key").alias("comment_id"), "anchor.part_id", "anchor.start_off", "anchor.end_off", F.lit(0).alias("ord"))
+    extended = c.where("para_id is not null and threading_status = 'verified'").select("document_id", "para_id", F.col("parent_id").alias("parent_para_id"), F.col("resolved").cast("string").alias("done"), F.col("comment_key").alias("ord"))
+    made = revisions.assemble_comments(bodies, ranges, extended)
+    lost = revisions.comment_gaps(made, ranges).where("gap = 'dangling_comment_parent'").select(F.col("detail").alias("comment_id"), F.lit(True).alias("dangling"))
+    return made.join(lost, "comment_id", "left").select(F.col("comment_id").alias("comment_key"), "threading_status", "parent_id", "resolved", F.col("anchor").isNull().alias("unanchored"), F.coalesce("dangling", F.lit(False)).alias("dangling"))
 
 
 @query("""
@@ -493,17 +500,19 @@ def chunk_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT document_id, view_id, chunk_id FROM chunks), a AS (SELECT document_id, chunk_id FROM c WHERE view_id = 'accepted'), o AS (SELECT document_id, chunk_id FROM c WHERE view_id = 'original'),
-s AS (SELECT document_id FROM a INTERSECT SELECT document_id FROM o)
-SELECT coalesce(a.document_id, o.document_id) AS document_id, coalesce(a.chunk_id, o.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'only_accepted' WHEN a.chunk_id IS NULL THEN 'only_original' ELSE 'both' END AS side
-FROM a FULL JOIN o ON a.document_id = o.document_id AND a.chunk_id = o.chunk_id WHERE coalesce(a.document_id, o.document_id) IN (SELECT document_id FROM s)""")
-def compare_views(spark: SparkSession, d: str) -> DataFrame:
-    c = A.chunks(spark, d).select("document_id", "view_id", "chunk_id").distinct()
-    one = lambda v, n: c.where(F.col("view_id") == v).select("document_id", "chunk_id", F.lit(True).alias(n))
-    a, o = one("accepted", "a"), one("original", "o")
-    shared = a.select("document_id").intersect(o.select("document_id"))
-    side = F.when(F.col("o").isNull(), "only_accepted").when(F.col("a").isNull(), "only_original").otherwise("both")
-    return a.join(o, ["document_id", "chunk_id"], "full").join(shared, "document_id", "left_semi").select("document_id", "chunk_id", side.alias("side"))
+WITH c AS (SELECT DISTINCT document_id, view_id, chunk_id, md5(heading_detection) AS h FROM chunks WHERE view_id IS NOT NULL AND chunk_id IS NOT NULL),
+d AS (SELECT document_id, lead(document_id) OVER (ORDER BY document_id) AS next FROM (SELECT DISTINCT document_id FROM c)),
+p AS (SELECT document_id AS a, next AS b FROM d WHERE next IS NOT NULL),
+v AS (SELECT DISTINCT p.a, p.b, x.view_id FROM p JOIN c x ON x.document_id = p.a JOIN c y ON y.document_id = p.b AND y.view_id = x.view_id),
+x AS (SELECT v.a, v.b, v.view_id, c.chunk_id, min(c.h) AS ha FROM v JOIN c ON c.document_id = v.a AND c.view_id = v.view_id GROUP BY ALL), y AS (SELECT v.a, v.b, v.view_id, c.chunk_id, min(c.h) AS hb FROM v JOIN c ON c.document_id = v.b AND c.view_id = v.view_id GROUP BY ALL)
+SELECT a, b, view_id, chunk_id, CASE WHEN y.chunk_id IS NULL THEN 'only_a' WHEN x.chunk_id IS NULL THEN 'only_b' WHEN ha IS DISTINCT FROM hb THEN 'context_changed' ELSE 'same' END AS change
+FROM x FULL JOIN y USING (a, b, view_id, chunk_id)""".replace("x.chunk_id IS NULL", "x.view_id IS NULL").replace("y.chunk_id IS NULL", "y.view_id IS NULL"))
+def compare_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the next by id; how headings were found stands for the context."""
+    c = A.chunks(spark, d).where("view_id is not null and chunk_id is not null").select("document_id", "view_id", "chunk_id", F.md5("heading_detection").alias("context_hash"))
+    ids = c.select("document_id").distinct()
+    # the next document: ranges of ids, so that one task never holds all of them
+    return retrieval.compare_pairs(c, retrieval.next_pairs(ids, "document_id"))
 
 
 @query("""
@@ -530,7 +539,12 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("block_key").agg(F.count(F.lit(1)).alias("n_rows"), (F.sum(F.length("r.text")) + F.count(F.lit(1)) - 1).cast("long").alias("n_chars"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT DISTINCT ON (block_key) * FROM blocks), r AS (SELECT block_key, unnest(row_items) AS r FROM b),
+g AS (SELECT block_key, r.row_ix AS row_ix, length(r.text) AS n, row_number() OVER (PARTITION BY block_key ORDER BY r.row_ix) - 1 AS ix, first_value(length(r.text)) OVER (PARTITION BY block_key ORDER BY r.row_ix) AS head FROM r),
+f AS (SELECT block_key, ix, 0 AS no, head + 1 + n AS fill FROM g WHERE ix = 1
+  UNION ALL SELECT g.block_key, g.ix, CASE WHEN f.fill + 1 + g.n > 1000 THEN f.no + 1 ELSE f.no END, CASE WHEN f.fill + 1 + g.n > 1000 THEN g.head + 1 + g.n ELSE f.fill + 1 + g.n END FROM f JOIN g ON g.block_key = f.block_key AND g.ix = f.ix + 1)
+SELECT g.block_key, g.row_ix, CAST(coalesce(f.no, 0) AS INTEGER) AS group_no, g.ix = 0 AS is_header FROM g LEFT JOIN f ON f.block_key = g.block_key AND f.ix = g.ix""")
 def table_row_groups(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "blocks").dropDuplicates(["block_key"]).select("block_key", F.explode("row_items").alias("r")).select("block_key", F.col("r.row_ix").alias("row_ix"), F.length("r.text").alias("n"))
     return C.split_table_rows(r, ["block_key"], "row_ix", "n", 1000).select("block_key", "row_ix", "group_no", "is_header")
@@ -642,7 +656,12 @@ def even_sample(spark: SparkSession, d: str) -> DataFrame:
     return evals.even_sample(A.chunks(spark, d).select("chunk_key", "document_id"), ["chunk_key"])
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT DISTINCT ON (revision_key) * FROM revision_labels WHERE text IS NOT NULL),
+h AS (SELECT document_id, move_group_id, array_to_string({_joined('text')}, ' ') AS t, CASE kind WHEN 'moveFrom' THEN 'original' ELSE 'accepted' END AS v, revision_key AS hit_ord FROM r),
+m AS (SELECT *, row_number() OVER (PARTITION BY document_id, move_group_id, t, v ORDER BY hit_ord) AS nth FROM h WHERE move_group_id IS NOT NULL)
+SELECT document_id, move_group_id, min(hit_ord) AS hit_ord, count(*) AS n_ends FROM m GROUP BY document_id, move_group_id, t, nth
+UNION ALL SELECT document_id, NULL, hit_ord, 1 FROM h WHERE move_group_id IS NULL""")
 def moves_folded(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "revision_labels").dropDuplicates(["revision_key"]).where("text is not null")
     end = F.when(F.col("kind") == "moveFrom", F.array(F.lit("original"))).otherwise(F.array(F.lit("accepted")))

@@ -54,7 +54,7 @@ def _source() -> Column:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.paths(_forest(spark, d)).select(_source(), F.col("node_key").alias("item_key"), "root_key", F.col("depth").alias("tree_depth"), "path")
+    return hierarchy.paths(_forest(spark, d)).select(_source(), F.col("node_key").alias("item_key"), "root_key", F.col("depth").alias("tree_depth"), F.array_join(F.transform("path", lambda k: k.cast("string")), "/").alias("path"))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -87,17 +87,44 @@ def p5_elements_by_tag(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n_elements"), F.max("depth").alias("deepest"), F.sum((F.col("post") - F.col("pre") - 1).cast("long")).alias("interval_sum"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dictionary": p1_dictionary, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p5_children": p5_children, "p5_spans": p5_spans, "p5_elements_by_tag": p5_elements_by_tag}
+def p5_element_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of paragraphs and of runs, each run with the nearest paragraph around it, by interval containment."""
+    parts = table(spark, d, "parts").select("part_key", "tree").dropDuplicates(["part_key"])
+    e = staged(nested.flatten_trees(parts, "part_key", "tree").select("owner_key", "ix", "pre", "post", "tag"), "elements")
+    inner = nested.within(nested.table_of(e, "w:r"), nested.table_of(e, "w:p"))
+    return inner.select("owner_key", F.col("ix").alias("run_ix"), F.col("outer_ix").alias("paragraph_ix"))
 
-SQL = {
-    "p2_found": """
-WITH RECURSIVE c AS (SELECT DISTINCT 'comment' AS src, document_id AS doc, comment_key AS k, lower(para_id) AS nm, lower(parent_id) AS up FROM comment_labels),
+
+QUERIES = {"p1_found": p1_found, "p1_dictionary": p1_dictionary, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p5_children": p5_children, "p5_spans": p5_spans, "p5_elements_by_tag": p5_elements_by_tag, "p5_element_tables": p5_element_tables}
+
+_PARENTS = """WITH RECURSIVE c AS (SELECT DISTINCT 'comment' AS src, document_id AS doc, comment_key AS k, lower(para_id) AS nm, lower(parent_id) AS up FROM comment_labels),
 n AS (SELECT DISTINCT ON (node_key) document_id AS doc, node_key AS k, node_id, child_ids FROM nodes),
 kids AS (SELECT doc, k AS pk, unnest(child_ids) AS nm FROM n),
 par AS (
   SELECT c.src, c.k, min(p.k) AS pk FROM c JOIN c p ON p.doc = c.doc AND p.nm = c.up GROUP BY ALL
   UNION ALL
-  SELECT 'node', n.k, min(kids.pk) FROM kids JOIN n ON n.doc = kids.doc AND n.node_id = kids.nm GROUP BY ALL),
+  SELECT 'node', n.k, min(kids.pk) FROM kids JOIN n ON n.doc = kids.doc AND n.node_id = kids.nm GROUP BY ALL),"""
+_DOWN = """
+alone AS (SELECT 'comment' AS src, k FROM c UNION SELECT 'node', k FROM n),
+down AS (
+  SELECT a.src, a.k, a.k AS root, 0 AS d, [a.k] AS path FROM alone a WHERE NOT EXISTS (SELECT 1 FROM par WHERE par.src = a.src AND par.k = a.k)
+  UNION ALL SELECT p.src, p.k, w.root, w.d + 1, list_append(w.path, p.k) FROM down w JOIN par p ON p.src = w.src AND p.pk = w.k)"""
+_ELEMENTS = """
+t0 AS (SELECT DISTINCT ON (part_key) part_key, tree FROM parts WHERE tree IS NOT NULL),
+t1 AS (SELECT part_key, CASE WHEN json_valid(tree) AND json_type(tree) = 'VARCHAR' THEN json_extract_string(tree, '$') ELSE tree END AS tree FROM t0),
+t2 AS (SELECT part_key, CASE WHEN json_valid(tree) AND json_type(tree) = 'VARCHAR' THEN json_extract_string(tree, '$') ELSE tree END AS tree FROM t1),
+jt AS (SELECT t2.part_key, j.id, j.parent, j.type, j.value FROM t2, json_tree(t2.tree) j WHERE json_valid(t2.tree)),
+el AS (SELECT part_key, id, parent, json_extract(value, '$.tag') AS tag, row_number() OVER (PARTITION BY part_key ORDER BY id) - 1 AS ix FROM jt WHERE type = 'OBJECT' AND json_exists(value, '$.tag')),
+up AS (SELECT part_key, id, parent AS cur FROM el UNION ALL SELECT u.part_key, u.id, jt.parent FROM up u JOIN jt ON jt.part_key = u.part_key AND jt.id = u.cur WHERE NOT EXISTS (SELECT 1 FROM el WHERE el.part_key = u.part_key AND el.id = u.cur)),
+pa AS (SELECT u.part_key, u.id, e.ix AS parent_ix FROM up u JOIN el e ON e.part_key = u.part_key AND e.id = u.cur)"""
+
+_AROUND = """,
+elp AS (SELECT el.part_key, el.ix, CASE WHEN json_type(el.tag) = 'VARCHAR' THEN json_extract_string(el.tag, '$') ELSE CAST(el.tag AS VARCHAR) END AS tag, pa.parent_ix FROM el LEFT JOIN pa ON pa.part_key = el.part_key AND pa.id = el.id),
+an AS (SELECT part_key, ix, parent_ix AS a FROM elp WHERE parent_ix IS NOT NULL UNION ALL SELECT an.part_key, an.ix, e.parent_ix FROM an JOIN elp e ON e.part_key = an.part_key AND e.ix = an.a WHERE e.parent_ix IS NOT NULL)"""
+
+SQL = {
+    "p2_found": f"""
+{_PARENTS}
 walk AS (
   SELECT src, k, pk AS cur, 1 AS steps, [k, pk] AS seen, pk = k AS lp FROM par
   UNION ALL
@@ -105,6 +132,22 @@ walk AS (
 SELECT src, k AS item_key, CASE WHEN bool_or(lp) THEN min(list_min(list_slice(seen, list_position(seen, cur), len(seen)))) FILTER (WHERE lp) ELSE arg_max(cur, steps) END AS root_key,
   CAST(CASE WHEN bool_or(lp) THEN -1 ELSE max(steps) END AS INTEGER) AS tree_depth
 FROM walk GROUP BY src, k""",
+    "p2_paths": f"""
+{_PARENTS}{_DOWN}
+SELECT src, k AS item_key, root AS root_key, CAST(d AS INTEGER) AS tree_depth, array_to_string(path, '/') AS path FROM down""",
+    "p2_descendants": f"""
+{_PARENTS}{_DOWN}
+SELECT src, unnest(list_slice(path, 1, len(path) - 1)) AS item_key, k AS descendant_key FROM down""",
+    "p5_found": f"""
+WITH RECURSIVE {_ELEMENTS},
+n AS (SELECT DISTINCT ON (node_key) * FROM nodes),
+ce AS (SELECT document_id, node_key, unnest(child_ids) AS nm, unnest(range(len(child_ids))) AS ix FROM n),
+ck AS (SELECT document_id, node_id, min(node_key) AS k FROM nodes GROUP BY ALL),
+se AS (SELECT document_id, node_key, unnest(spans) AS s, unnest(range(len(spans))) AS ix FROM n),
+sk AS (SELECT document_id, part_id, min(stream_key) AS k FROM streams GROUP BY ALL)
+SELECT 'tree' AS src, el.part_key AS owner_key, CAST(el.ix AS INTEGER) AS item_ix, coalesce(CAST(pa.parent_ix AS VARCHAR), '') AS link_key FROM el LEFT JOIN pa ON pa.part_key = el.part_key AND pa.id = el.id
+UNION ALL SELECT 'child', ce.node_key, CAST(ce.ix AS INTEGER), coalesce(CAST(ck.k AS VARCHAR), '') FROM ce LEFT JOIN ck ON ck.document_id = ce.document_id AND ck.node_id = ce.nm
+UNION ALL SELECT 'span', se.node_key, CAST(se.ix AS INTEGER), coalesce(CAST(sk.k AS VARCHAR), '') FROM se LEFT JOIN sk ON sk.document_id = se.document_id AND sk.part_id = se.s.part_id""",
     "p5_children": """
 WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes),
 e AS (SELECT document_id, node_key, unnest(child_ids) AS nm, unnest(range(len(child_ids))) AS ix FROM n),
@@ -115,4 +158,11 @@ WITH n AS (SELECT DISTINCT ON (node_key) * FROM nodes),
 e AS (SELECT document_id, node_key, unnest(spans) AS s, unnest(range(len(spans))) AS ix FROM n),
 k AS (SELECT document_id, part_id, min(stream_key) AS stream_key FROM streams GROUP BY ALL)
 SELECT e.node_key AS owner_key, CAST(e.ix AS INTEGER) AS item_ix, e.s.part_id AS part_id, e.s.start_off AS start_off, e.s.end_off AS end_off, k.stream_key FROM e LEFT JOIN k ON k.document_id = e.document_id AND k.part_id = e.s.part_id""",
+    "p5_elements_by_tag": f"""
+WITH RECURSIVE {_ELEMENTS}{_AROUND},
+dp AS (SELECT part_key, ix, count(*) AS n FROM an GROUP BY ALL), ds AS (SELECT part_key, a AS ix, count(*) AS n FROM an GROUP BY ALL)
+SELECT elp.tag, count(*) AS n_elements, CAST(max(coalesce(dp.n, 0)) AS INTEGER) AS deepest, CAST(sum(2 * coalesce(ds.n, 0)) AS BIGINT) AS interval_sum FROM elp LEFT JOIN dp USING (part_key, ix) LEFT JOIN ds USING (part_key, ix) GROUP BY elp.tag""",
+    "p5_element_tables": f"""
+WITH RECURSIVE {_ELEMENTS}{_AROUND}
+SELECT r.part_key AS owner_key, CAST(r.ix AS INTEGER) AS run_ix, CAST(max(p.ix) AS INTEGER) AS paragraph_ix FROM elp r LEFT JOIN an ON an.part_key = r.part_key AND an.ix = r.ix LEFT JOIN elp p ON p.part_key = an.part_key AND p.ix = an.a AND p.tag = 'w:p' WHERE r.tag = 'w:r' GROUP BY r.part_key, r.ix""",
 }
