@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redloom.operators.skew import skew_join
-from redloom.session import path_exists, scratch
+from redloom.session import path_exists, scratch, write_table
 
 #: Part of a kept dictionary's path: entries made by other rules are never mixed in.
 PARSER_VERSION = 1
@@ -113,8 +113,9 @@ def grow_dictionary(values: DataFrame, path: str) -> DataFrame:
     fresh = values.select(*keys).where(F.col("__raw").isNotNull()).distinct()
     if path_exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    parse_instants(fresh, "__raw", "__zone", "__utc_us").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    write_table(parse_instants(fresh, "__raw", "__zone", "__utc_us"), path, "append")
+    # runs that started together may have added the same value; its instant is the same
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max("__utc_us").alias("__utc_us"))
 
 
 def normalise_timestamps(df: DataFrame, raw: str, zone: str, source: Column | str, *, spread: str, out: str = "utc_us", dictionary: str | None = None) -> DataFrame:

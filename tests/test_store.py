@@ -45,6 +45,21 @@ def test_read_only_and_evict(spark, tmp_path):
     store.replace("terms", spark.createDataFrame([("a", 5)], "key string, v int"))
     assert {r.key: r.v for r in store.load("terms").collect()} == {"a": 5, "b": 2, "c": 3}
     assert [r.key for r in store.keys("terms").collect()] == ["a", "b", "c"] and store.find("terms", "b").first().v == 2
+    store.replace("terms", spark.createDataFrame([("a", 6), ("a", 7)], "key string, v int"))
+    store.evict("terms", spark.createDataFrame([("b",)], "key string"))
+    store.save("terms", spark.createDataFrame([("b", 8)], "key string, v int"))
+    want = [("a", 6), ("a", 7), ("b", 8), ("c", 3)]
+    assert sorted((r.key, r.v) for r in store.load("terms").collect()) == want
+    # a part that no manifest lists is not there, a write between reading and adding is not lost
+    store._write("terms", spark.createDataFrame([("ghost", 1)], "key string, v int"))
+    parts = store._parts("terms")
+    assert not store._commit("terms", [*parts[:-1], {"name": "x", "rows": True, "masks": False}])
+    store.compact("terms")
+    assert len(store._parts("terms")) == 1 and sorted((r.key, r.v) for r in store.load("terms").collect()) == want
+    with pytest.raises(KeyError):
+        store.get("terms", "nothing")
+    store.evict("terms", spark.createDataFrame([("c",)], "key string"))
+    assert {r.key for r in store.load("terms").collect()} == {"a", "b"}
     with pytest.raises(ValueError, match="collection"):
         store.load("nothing")
 
