@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redloom.functions import text as T
-from redloom.operators import structure, terms, views
+from redloom.operators import revisions, structure, terms, views
 from redloom.session import staged
 
 #: Sources in the order of their say.
@@ -174,6 +174,28 @@ def get_chunk(chunks: DataFrame, chunk_id: str, view: str | None = None, documen
     return c
 
 
+def chunk_answers(ranges: DataFrame, spans: DataFrame, revs: DataFrame, anchors: DataFrame, view: str) -> DataFrame:
+    """What is said of chunks: (document_id, chunk_key, text, markup, comments, pending, citation).
+
+    ``ranges(document_id, part_id, chunk_key, start_off, end_off)`` are the chunks' places, ``revs(document_id, revision_id,
+    author, date, move_group_id)`` the revisions, ``anchors(document_id, part_id, comment_key, start)`` where comments begin.
+    ``text`` is what the view keeps, ``markup`` all text inside its revisions, ``citation`` the ranges.
+    """
+    key = ["document_id", "chunk_key"]
+    asked = ranges.select("document_id", "part_id", "chunk_key", F.col("start_off").alias("__from"), F.col("end_off").alias("__to"))
+    met = views.overlap_join(asked, spans, views.PART, "__from", "__to", "start_off", "end_off")
+    cut = F.expr("substring(text, greatest(__from, start_off) - start_off + 1, least(__to, end_off) - greatest(__from, start_off))")
+    own = met.select(*key, "part_id", F.struct("part_id", "span_ord").alias("span_ord"), "stack", views.retained(F.col("stack"), F.col("text"), view).alias("kept"), cut.alias("text"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("span_ord", "text")))), lambda x: x["text"]), "")
+    text = own.groupBy(*key).agg(said.alias("text"))
+    markup = revisions.render_markup(own, key, revs)
+    held = revisions.comments_in_chunks(anchors, ranges).groupBy("chunk_key").agg(F.array_sort(F.collect_set("comment_key")).alias("comments"))
+    open_ = revisions.pending_changes(revisions.stacked(ranges, spans), revs)
+    pending = open_.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first_start", "revision_id", "kind", "author", "date", "excerpt"))).alias("pending"))
+    cited = ranges.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part_id", "start_off", "end_off"))).alias("citation"))
+    return cited.join(text, key, "left").join(markup, key, "left").join(held, "chunk_key", "left").join(pending, key, "left").select(*key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markup", F.lit("")).alias("markup"), "comments", "pending", "citation")
+
+
 def compare_pairs(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     """:func:`compare` for ``pairs(a, b)`` of documents: (a, b, view_id, chunk_id, change); pairs without a common view have no row."""
     c = chunks.groupBy("document_id", "view_id", "chunk_id").agg(F.min("context_hash").alias("h"))
@@ -213,14 +235,24 @@ def chunk_groups_on_one_side(hits_a: DataFrame, hits_b: DataFrame) -> DataFrame:
     return hits_a.select(*k).distinct().join(hits_b, k, "left_anti").withColumn("side", F.lit("a")).unionByName(hits_b.select(*k).distinct().join(hits_a, k, "left_anti").withColumn("side", F.lit("b")))
 
 
-def list_documents(archived: DataFrame, runs: DataFrame) -> DataFrame:
-    """Archived and processed documents in one list: latest run, latest keys by view and term list."""
+def list_documents(archived: DataFrame, runs: DataFrame, rollups: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
+    """Archived and processed documents in one list: latest run, latest keys by view and term list.
+
+    With ``rollups(document_id, target_kind, status, text, has_pending)`` the document's own roll-up and whether something is
+    pending, with ``comments(document_id)`` how many there are.
+    """
     order = F.struct("written_at", "run_id")
     last = runs.groupBy("document_id").agg(F.max_by("run_id", order).alias("run_id"), F.max("written_at").alias("written_at"))
     views = runs.groupBy("document_id", "view_id").agg(F.max_by("chunks_key", order).alias("key")).groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("view_id", "key")))).alias("chunk_keys"))
     terms = runs.where("term_list_hash is not null").groupBy("document_id", "term_list_hash").agg(F.max_by("hits_key", order).alias("key")).groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term_list_hash", "key")))).alias("hit_keys"))
     known = archived.select("document_id", "title").join(last, "document_id", "full")
-    return known.join(views, "document_id", "left").join(terms, "document_id", "left").orderBy("title", "document_id")
+    out = known.join(views, "document_id", "left").join(terms, "document_id", "left")
+    if rollups is not None:
+        top = rollups.where("status = 'ok' and target_kind = 'document'").groupBy("document_id").agg(F.min(F.struct("text", "has_pending")).alias("r"))
+        out = out.join(top, "document_id", "left").withColumns({"summary": F.col("r.text"), "has_pending": F.col("r.has_pending")}).drop("r")
+    if comments is not None:
+        out = out.join(comments.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_comments")), "document_id", "left").fillna({"n_comments": 0})
+    return out.orderBy("title", "document_id")
 
 
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
