@@ -18,13 +18,14 @@ def emit(df: DataFrame) -> None:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("redloom")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, args in (("ingest", ("folder", "store")), ("documents", ("store",)), ("hits", ("store", "terms")), ("text", ("store", "view")), ("search", ("store", "query"))):
+    for name, args in (("ingest", ("folder", "store")), ("documents", ("store",)), ("hits", ("store", "terms")), ("text", ("store", "view")), ("search", ("store", "query")), ("chunks", ("store", "view")), ("summarize", ("store", "prompt", "model", "client"))):
         one = sub.add_parser(name)
         for a in args:
             one.add_argument(a)
     o = parser.parse_args(argv)
 
-    from redloom.operators import retrieval, terms, views
+    from redloom.operators import retrieval, summaries, terms, views
+    from redloom.plans import documents
     from redloom.session import build_session
     from redloom.sources import docx
     from redloom.sources.registry import FormatError, load_registry
@@ -45,7 +46,12 @@ def main(argv: list[str] | None = None) -> int:
             emit(views.view_text(views.project(t["span"], o.view)).orderBy("document_id", "part_id"))
         elif o.command == "hits":
             registry = load_registry(spark, open(o.terms, encoding="utf-8").read())
-            emit(terms.match_texts(views.view_text(views.project(t["span"], "accepted")).select("document_id", "part_id", "text"), terms.compile_forms(registry)))
+            emit(documents.hits_of(t, terms.compile_forms(registry)))
+        elif o.command == "chunks":
+            emit(documents.chunks_of(t, o.view))
+        elif o.command == "summarize":
+            made = documents.chunks_of(t).select("document_id", "chunk_id", F.col("text").alias("markup"))
+            emit(summaries.summarize(Store(spark, o.store), made, o.prompt, o.model, summaries.client(o.client)))
         else:
             leaves = t["node"].where("start_off is not null").join(t["stream"], ["document_id", "part_id"]).select("document_id", "node_id", F.lit("union").alias("view"), F.expr("substring(text, start_off + 1, end_off - start_off)").alias("text"))
             emit(retrieval.text_tier(leaves, leaves.select("document_id", "node_id", F.col("node_id").alias("chunk_id")), o.query))

@@ -173,3 +173,22 @@ def test_written_packages_are_read_back():
     assert [(t, s) for t, s in spans(d)] == pieces
     got = rows(d, "comment")
     assert [(x["comment_id"], x["author"], x["initials"], x["text"], x["resolved"], x["threading_status"]) for x in got] == [("1", 'A "B"', None, "said", False, "verified"), ("2", 'A "B"', None, "said", None, "unknown")]
+
+
+def test_documents_to_hits_and_chunks(spark, tmp_path):
+    from redloom.operators import terms
+    from redloom.operators.chunks import ChunkParams
+    from redloom.plans import documents
+
+    styles = '<w:style w:styleId="H"><w:name w:val="heading 1"/></w:style>'
+    head = lambda t: p(t, '<w:pStyle w:val="H"/>')
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    note = f'<w:comment w:id="1" w:author="T">{p("the notice period", para="C1")}</w:comment>'
+    body = p("Preamble") + head("One") + p(r("right of ") + rev("del", deleted("refusal"), "3") + rev("ins", r("renewal"), "4")) + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl>" + head("Two") + p("notice period here")
+    (tmp_path / "a.docx").write_bytes(package(body, styles=styles, comments=note))
+    t = docx.tables_of(docx.read_packages(spark, str(tmp_path)).cache())
+    groups = spark.createDataFrame([(1, "right of renewal", None, None), (2, "right of refusal", None, None), (3, "notice period", ["refusalrenewal"], None)], "group_key int, canonical string, synonyms array<string>, stemming string")
+    hits = {(h.group_key, h.part_id.split(":")[0], tuple(h.present_in), len(h.spans)) for h in documents.hits_of(t, terms.compile_forms(groups)).collect()}
+    assert hits == {(1, "officeDocument", ("accepted",), 2), (2, "officeDocument", ("original",), 1), (3, "officeDocument", ("accepted", "original"), 1), (3, "comments", (), 1)}
+    c = documents.chunks_of(t, "accepted", ChunkParams(min_size=0)).orderBy("chunk_ord").collect()
+    assert [(x.section_path, x.text) for x in c] == [([], "Preamble"), (["One"], "right of renewal\na\nb"), (["Two"], "notice period here")]
