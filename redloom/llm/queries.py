@@ -53,11 +53,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row a text: its class of equal shingle sets and how many other classes that class is linked to."""
+    """One row a text: its class of equal shingle sets, named by its smallest key, and how many other classes that class is linked to."""
     members, pairs = _near(spark, d)
     both = pairs.select(F.col("class_a").alias("class")).unionByName(pairs.select(F.col("class_b").alias("class")))
     links = both.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(links, "class", "left").select("src", "key", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = members.groupBy("class").agg(F.min("key").alias("class_key"))
+    return members.join(named, "class").join(links, "class", "left").select("src", "key", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +89,11 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p4_found, p4_normal, p
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
+_RUNS = f"""
+WITH t AS (SELECT DISTINCT 'chunk' AS src, chunk_key AS k, text FROM chunks UNION ALL SELECT DISTINCT 'stream', stream_key, text FROM streams),
+w AS (SELECT src, k, {_WORDS} AS w FROM t WHERE text IS NOT NULL),
+r AS (SELECT DISTINCT src, k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM w WHERE len(w) >= 40)"""
+
 SQL = {
     "p4_found": f"""
 WITH s AS (SELECT DISTINCT stream_key AS k, text AS raw, {lookalike.normal_sql('text')} AS plain FROM streams WHERE text IS NOT NULL),
@@ -103,12 +109,19 @@ WITH b AS (SELECT DISTINCT ON (block_key) * FROM blocks),
 i AS (SELECT block_key, -1 AS row_ix, text, params_id FROM b UNION ALL SELECT block_key, r.row_ix, r.text, params_id FROM (SELECT block_key, params_id, unnest(row_items) AS r FROM b))
 SELECT i.block_key, CAST(i.row_ix AS INTEGER) AS row_ix FROM i JOIN chunk_params p ON p.params_id = coalesce(i.params_id, 1) WHERE length(i.text) > p.size_cap""",
     "p7_found": f"""
-WITH t AS (SELECT DISTINCT 'chunk' AS src, chunk_key AS k, text FROM chunks UNION ALL SELECT DISTINCT 'stream', stream_key, text FROM streams),
-w AS (SELECT src, k, {_WORDS} AS w FROM t WHERE text IS NOT NULL),
-r AS (SELECT DISTINCT src, k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM w WHERE len(w) >= 40),
+{_RUNS},
 n AS (SELECT src, k, count(*) AS n FROM r GROUP BY ALL),
 c AS (SELECT a.src, a.k AS ka, b.k AS kb, count(*) AS c FROM r a JOIN r b ON a.src = b.src AND a.run = b.run AND a.k < b.k GROUP BY ALL)
 SELECT c.src, c.ka AS key_a, c.kb AS key_b FROM c JOIN n x ON x.src = c.src AND x.k = c.ka JOIN n y ON y.src = c.src AND y.k = c.kb WHERE c.c >= 0.6 * (x.n + y.n - c.c)""",
+    "p7_classes": f"""
+{_RUNS},
+g AS (SELECT src, k, md5(string_agg(run, chr(1) ORDER BY run)) AS sig, count(*) AS n FROM r GROUP BY ALL),
+m AS (SELECT *, min(k) OVER (PARTITION BY src, sig) AS ck FROM g),
+o AS (SELECT r.src, r.k, r.run, m.n FROM r JOIN m ON m.src = r.src AND m.k = r.k WHERE m.k = m.ck),
+c AS (SELECT a.src, a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS c FROM o a JOIN o b ON a.src = b.src AND a.run = b.run AND a.k < b.k GROUP BY ALL),
+l AS (SELECT src, ka, kb FROM c WHERE c >= 0.6 * (na + nb - c)),
+e AS (SELECT src, k, count(*) AS n_links FROM (SELECT src, ka AS k FROM l UNION ALL SELECT src, kb FROM l) GROUP BY ALL)
+SELECT m.src, m.k AS key, m.ck AS class_key, coalesce(e.n_links, 0) AS n_links FROM m LEFT JOIN e ON e.src = m.src AND e.k = m.ck""",
     "p9_found": f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
 gi AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda p: list_aggregate(w[p:p + 11], 'string_agg', ' '))) AS g FROM i WHERE len(w) >= 12),

@@ -32,9 +32,8 @@ def corpus(seed):
     return [*rows, ("a", 900, None), ("a", 901, ""), ("a", 902, "one two"), *rows[:3]]
 
 
-@pytest.mark.parametrize("small", [False, True])
-@pytest.mark.parametrize(("width", "threshold", "least"), [(3, 0.6, 10), (5, 0.8, 1), (1, 0.5, 1)])
-def test_against_brute_force(spark, small, width, threshold, least):
+@pytest.mark.parametrize(("width", "threshold", "least", "small"), [(3, 0.6, 10, False), (3, 0.6, 10, True), (5, 0.8, 1, True), (1, 0.5, 1, False)])
+def test_against_brute_force(spark, width, threshold, least, small):
     # small: as large input does, with full buckets, frequent shingles in blocks, batches that end within a key
     sizes = {"bucket_bits": 4, "block": 3, "held": 5} if small else {}
     rows = corpus(width)
