@@ -261,7 +261,6 @@ def test_scratch(spark):
     assert not session.path_exists(spark, name)
     kept = session.staged(spark.range(3), "y").inputFiles()[0].rsplit("/", 1)[0]
     session.drop_scratch(spark)
-    session.release(spark)
     assert not session.path_exists(spark, kept)
 
 
