@@ -41,6 +41,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("ingest", str(tmp_path / "in"), store)[1][0]["nodes"] == 1
     assert run("documents", store)[1][0]["nodes"] == 1
     assert run("text", store, "accepted")[1][0]["text"] == "The boiler and the heaters\n"
-    assert [(h["start"], h["match_type"]) for h in run("hits", store, str(tmp_path / "t.json"))[1]] == [(4, "exact")]
+    hits = run("hits", store, str(tmp_path / "t.json"))[1]
+    assert [(h["spans"], h["present_in"], h["match_type"]) for h in hits] == [([{"union_start": 4, "union_end": 10}], ["accepted", "original"], "exact")]
+    assert [c["text"] for c in run("chunks", store, "accepted")[1]] == ["The boiler and the heaters"]
+    assert [(c["status"], c["cache"]) for c in run("summarize", store, "Say it.", "m", "canned")[1]] == [("ok", "miss")]
+    assert [c["cache"] for c in run("summarize", store, "Say it.", "m", "canned")[1]] == ["hit"]
     assert run("search", store, "the BOILER")[1][0]["start"] == 0
     assert run("text", store, "nothing")[0] == 2
