@@ -696,7 +696,10 @@ def chunk_size_facts(spark: SparkSession, d: str) -> DataFrame:
     return evals.score_facts(facts)
 
 
-@query()
+@query("""
+WITH c AS (SELECT DISTINCT ON (chunk_key) chunk_key, document_id FROM chunks), r AS (SELECT *, row_number() OVER (ORDER BY chunk_key) - 1 AS p, count(*) OVER () AS n FROM c),
+w AS (SELECT DISTINCT CAST(round_even(i.range * (n - 1) / 11.0, 0) AS BIGINT) AS p FROM range(12) i, (SELECT any_value(n) AS n FROM r))
+SELECT chunk_key, document_id FROM r WHERE n <= 12 OR p IN (SELECT p FROM w)""")
 def even_sample(spark: SparkSession, d: str) -> DataFrame:
     return evals.even_sample(A.chunks(spark, d).select("chunk_key", "document_id"), ["chunk_key"])
 
